@@ -1,17 +1,18 @@
 """Problem 5: chunks whose content is mostly the same, over sets of term triples.
 
-A fragment-wise set similarity join. The global order of triples runs from rare to
-frequent, taken from a sketch of bucket counts whose size is fixed, so the same few
-megabytes travel to the executors at any size of the data; the order steers cost only,
-never the result.
+A fragment-wise set similarity join in the global order of triples, from rare to frequent.
 
 1. Chunks with equal triple sets form classes, so copies are joined once.
-2. A class's prefix (its rarest n - ceil(t n) + 1 triples) meets the prefixes of others;
-   size and position filters leave the candidate pairs. Rows are keyed by triple, so a hot
-   group spreads over its triples and adaptive execution splits what is still skewed.
-3. The global order is cut vertically into fragments. Only the sets that stand in a
-   candidate pair are cut; overlaps are counted fragment by fragment and summed per pair,
-   which gives the exact similarity.
+2. Triples that no other class holds can't be shared. Every class posts its triples; what
+   comes back is how many are shared, and a class with more unshared triples than a partner
+   could lack is out. A small sketch of bucket counts tells beforehand which triples may be
+   very frequent: these count as shared without being posted, so a triple's group is never
+   more than a few of the sketch's buckets.
+3. For the classes left, document frequencies are exact. The prefixes in the global order
+   (the rarest n - ceil(t n) + 1 triples) meet; size and position filters leave candidates.
+4. The order is cut vertically into fragments at pivots of the frequency; overlaps of the
+   candidate pairs are counted fragment by fragment and summed per pair, which gives the
+   exact similarity.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.terms import as_string, term_array
@@ -29,8 +30,11 @@ from codelode.session import BROADCAST_BYTES, materialise
 
 #: Least similarity as a fraction, least number of distinct triples.
 SIMILAR, WHOLE, LEAST = 7, 10, 30
-#: Buckets of the frequency sketch and fragments of the global order.
-SKETCH, FRAGMENTS = 1 << 19, 8
+#: Buckets of the sketch (2 ** SKETCH_BITS), times the mean from which a bucket is hot, fragments of the global order.
+SKETCH_BITS, HOT, FRAGMENTS = 16, 8, 8
+#: Share of the hash range whose triples are posted in step 2. Unposted triples count as
+#: shared, so any share keeps every link; a lower one shuffles less and prunes less.
+POSTED = 0.75
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S30, _S27, _S31, _S45 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(45)
@@ -72,27 +76,27 @@ def _large(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _bucket(triple: np.ndarray) -> np.ndarray:
-    return (triple >> np.uint64(64 - 19)).astype(np.int64)
+    return (triple >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _sketcher(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SKETCH, np.int64)
+        count = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             triple = _large(as_string(batch.column(0)), least)[3]
-            count += np.bincount(_bucket(triple), minlength=SKETCH)
+            count += np.bincount(_bucket(triple), minlength=1 << SKETCH_BITS)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["bucket", "n"])
 
     return run
 
 
-def triple_order(texts: DataFrame, least: int = LEAST) -> np.ndarray:
-    """Occurrences of the triples of each bucket of the sketch, over all texts."""
+def hot_buckets(texts: DataFrame, least: int = LEAST) -> np.ndarray:
+    """Which buckets of the sketch hold HOT times the mean, over the triples of all texts."""
     rows = texts.mapInArrow(_sketcher(least), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros(SKETCH, np.int32)
-    count[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
-    return count
+    count = np.zeros(1 << SKETCH_BITS, np.int64)
+    count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return count > max(HOT * count.mean(), HOT)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -103,49 +107,56 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(values))
 
 
-def _sums(triple: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that name a set."""
+def _keys(triple: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set: two unlike sets share it once in 2 ** 64."""
     if not len(head):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        return np.add.reduceat(_finish(triple + _M2), head), np.add.reduceat(_finish(triple ^ _M3), head)
+        return _finish(np.add.reduceat(_finish(triple + _M2), head) * _M1 + np.add.reduceat(_finish(triple ^ _M3), head))
 
 
-def _header(count: np.ndarray, least: int):
+def _posted(triple: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return ~hot[_bucket(triple)] & (_finish(triple) < np.uint64(int(POSTED * 2**64)))
+
+
+def _header(hot: np.ndarray, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, head, n, triple = _large(as_string(batch.column(1)), least)
-            s1, s2 = _sums(triple, head)
-            rank = np.lexsort((triple, count[_bucket(triple)], np.repeat(np.arange(len(sets)), n)))
-            prefix = n - (SIMILAR * n + WHOLE - 1) // WHOLE + 1
-            take = np.repeat(head - (np.cumsum(prefix) - prefix), prefix) + np.arange(int(prefix.sum()))
+            posted = np.add.reduceat(_posted(triple, hot).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(sets)).cast(pa.string()), pa.array(n.astype(np.int32)), _signed(s1), _signed(s2), _lists(triple[rank][take], prefix)],
-                ["id", "n", "s1", "s2", "prefix"],
+                [batch.column(0).take(pa.array(sets)).cast(pa.string()), _signed(_keys(triple, head)), pa.array(n.astype(np.int32)), pa.array(posted.astype(np.int32))], ["id", "k", "n", "posted"]
             )
 
     return run
 
 
-def _cutter(count: np.ndarray, least: int):
-    """Rows (s1, s2, fragment, triples): the sets cut where the global order's pivots lie."""
-    weight = np.sort(count)
-    share = np.cumsum(weight.astype(np.int64))
-    pivots = weight[np.searchsorted(share, share[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)] if share[-1] else np.zeros(FRAGMENTS - 1, np.int32)
+def _poster(hot: np.ndarray, least: int):
+    """Rows (triple, k) of the triples to be posted; a set seen before in the task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets, head, n, triple = _large(as_string(batch.column(0)), least)
-            s1, s2 = _sums(triple, head)
-            of = np.repeat(np.arange(len(sets)), n)
-            fragment = np.searchsorted(pivots, count[_bucket(triple)], side="left")
-            order = np.lexsort((fragment, of))
-            of, fragment, triple = of[order], fragment[order], triple[order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (fragment[1:] != fragment[:-1])])) if len(of) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(first, len(of)))
-            yield pa.RecordBatch.from_arrays(
-                [_signed(s1[of[first]]), _signed(s2[of[first]]), pa.array(fragment[first].astype(np.int32)), _lists(triple, sizes)], ["s1", "s2", "fragment", "triples"]
-            )
+            _, head, n, triple = _large(as_string(batch.column(0)), least)
+            keys = _keys(triple, head)
+            fresh = np.zeros(len(keys), bool)
+            for i, k in enumerate(keys.tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh[i] = True
+            take = np.repeat(fresh, n) & _posted(triple, hot)
+            yield pa.RecordBatch.from_arrays([_signed(triple[take]), _signed(np.repeat(keys, n)[take])], ["triple", "k"])
+
+    return run
+
+
+def _lister(least: int):
+    """Rows (k, triples): the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, head, n, triple = _large(as_string(batch.column(0)), least)
+            yield pa.RecordBatch.from_arrays([_signed(_keys(triple, head)), _lists(triple, n)], ["k", "triples"])
 
     return run
 
@@ -156,46 +167,62 @@ def classes_and_links(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     Rows without an id or content take no part; a chunk counts once however often delivered.
     """
     texts = chunks.select(F.col("id").cast("string").alias("id"), F.col("content").alias("content")).filter(F.col("id").isNotNull() & F.col("content").isNotNull())
-    count = triple_order(texts.select("content"), least)
-    heads = materialise(texts.mapInArrow(_header(count, least), "id string, n int, s1 long, s2 long, prefix array<long>"), "p5-heads")
-    classes = heads.groupBy("s1", "s2", "n").agg(F.min("id").alias("class"), F.first("prefix").alias("prefix"))
-    names = heads.groupBy("s1", "s2").agg(F.min("id").alias("class"))
-    members = heads.select("id", "s1", "s2").distinct().join(names, ["s1", "s2"]).select("id", "class")
-
-    rows = classes.select("s1", F.col("n").alias("n"), F.posexplode("prefix").alias("at", "triple"))
-    a = rows.select("triple", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    b = rows.select("triple", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    hot = hot_buckets(texts.select("content"), least)
+    heads = materialise(texts.mapInArrow(_header(hot, least), "id string, k long, n int, posted int"), "p5-heads")
+    classes = heads.groupBy("k").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("posted").alias("posted"))
+    members = heads.join(classes.select("k", "class"), "k").select("id", "class").distinct()
+
+    by_triple = Window.partitionBy("triple")
+    posts = texts.select("content").mapInArrow(_poster(hot, least), "triple long, k long")
+    common = posts.withColumns({"low": F.min("k").over(by_triple), "high": F.max("k").over(by_triple)}).filter("low <> high")
+    # the copies of a set in several tasks count once: they post the same triples
+    shared = common.groupBy("k").agg(F.count("*").alias("shared"))
+    lacking = F.col("posted") - F.coalesce("shared", F.lit(0))
+    left = materialise(classes.join(shared, "k", "left").filter(lacking <= F.col("n") - F.ceil(SIMILAR * F.col("n") / WHOLE)).select("k", "class", "n"), "p5-left")
+
+    wanted = left.select(F.col("class").alias("id"))
+    if left.count() * 64 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, "id", "left_semi").select("content").mapInArrow(_lister(least), "k long, triples array<long>")
+    rows = sets.select("k", F.explode("triples").alias("triple"))
+    rows = materialise(rows, "p5-sets")
+    frequency = rows.groupBy("triple").agg(F.count("*").alias("df")).filter("df > 1")
+    # a chunk delivered twice gives its triples twice, which changes the order but no result
+    ordered = materialise(rows.join(frequency, "triple").groupBy("k", "triple").agg(F.max("df").alias("df")), "p5-ordered")
+
+    # triples of one class only come first in the order, so a place in the prefix is counted from them
+    sized = left.select("k", "n")
+    place = F.col("n") - F.count("*").over(Window.partitionBy("k")) + F.row_number().over(Window.partitionBy("k").orderBy("df", "triple"))
+    prefix = ordered.join(sized, "k").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") / WHOLE) + 1)
+    prefix = materialise(prefix.select("triple", "k", "n", F.col("at").cast("int").alias("at")), "p5-prefix")
+    a = prefix.select("triple", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    b = prefix.select("triple", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
     need = F.ceil(SIMILAR * (F.col("nx") + F.col("ny")) / (SIMILAR + WHOLE))
     meet = (
         a.join(b, "triple")
         .filter((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
-        .filter((WHOLE * F.col("nx") >= SIMILAR * F.col("ny")) & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= need))
+        .filter((WHOLE * F.col("nx") >= SIMILAR * F.col("ny")) & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1 >= need))
     )
-    candidates = materialise(meet.select("x", "y").distinct(), "p5-candidates")
-
-    wanted = candidates.select(F.col("x").alias("s1")).union(candidates.select(F.col("y").alias("s1"))).distinct()
-    wanted = heads.join(wanted, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("id").alias("id")).select("id")
-    wanted = materialise(wanted, "p5-wanted")
-    if wanted.count() * 64 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    some = texts.join(wanted, "id", "left_semi").select("content")
-    cut = some.mapInArrow(_cutter(count, least), "s1 long, s2 long, fragment int, triples array<long>")
-    # a chunk delivered twice gives its fragments twice
-    segments = materialise(cut.dropDuplicates(["s1", "s2", "fragment"]), "p5-segments")
-    left = segments.select(F.col("s1").alias("x"), F.col("s2").alias("x2"), "fragment", F.col("triples").alias("left"))
-    right = segments.select(F.col("s1").alias("y"), F.col("s2").alias("y2"), "fragment", F.col("triples").alias("right"))
-    partial = candidates.join(left, "x").join(right, ["y", "fragment"]).select("x", "x2", "y", "y2", F.size(F.array_intersect("left", "right")).alias("shared"))
-    total = partial.groupBy("x", "x2", "y", "y2").agg(F.sum("shared").alias("shared"))
-    sized = heads.groupBy("s1", "s2").agg(F.min("id").alias("class"), F.first("n").alias("n"))
-    one = sized.select(F.col("s1").alias("x"), F.col("s2").alias("x2"), F.col("class").alias("p"), F.col("n").alias("np"))
-    two = sized.select(F.col("s1").alias("y"), F.col("s2").alias("y2"), F.col("class").alias("q"), F.col("n").alias("nq"))
-    good = total.join(one, ["x", "x2"]).join(two, ["y", "y2"]).filter(WHOLE * F.col("shared") >= SIMILAR * (F.col("np") + F.col("nq") - F.col("shared")))
-    links = good.select(
+    candidates = materialise(meet.select("x", "nx", "y", "ny").distinct(), "p5-candidates")
+
+    cuts = ordered.agg(F.percentile_approx("df", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0] or []
+    fragment = F.lit(0)
+    for cut in sorted(set(cuts)):
+        fragment = fragment + (F.col("df") > cut).cast("int")
+    segments = ordered.groupBy("k", fragment.alias("fragment")).agg(F.collect_list("triple").alias("triples"))
+    spread = candidates.select("x", "nx", "y", "ny", F.explode(F.sequence(F.lit(0), F.lit(len(set(cuts))))).alias("fragment"))
+    first = segments.select(F.col("k").alias("x"), "fragment", F.col("triples").alias("left"))
+    second = segments.select(F.col("k").alias("y"), "fragment", F.col("triples").alias("right"))
+    partial = spread.join(first, ["x", "fragment"]).join(second, ["y", "fragment"]).select("x", "nx", "y", "ny", F.size(F.array_intersect("left", "right")).alias("shared"))
+    total = partial.groupBy("x", "nx", "y", "ny").agg(F.sum("shared").alias("shared"))
+    good = total.filter(WHOLE * F.col("shared") >= SIMILAR * (F.col("nx") + F.col("ny") - F.col("shared")))
+    named = good.join(left.select(F.col("k").alias("x"), F.col("class").alias("p")), "x").join(left.select(F.col("k").alias("y"), F.col("class").alias("q")), "y")
+    links = named.select(
         F.least("p", "q").alias("a"),
         F.greatest("p", "q").alias("b"),
         F.col("shared").cast("long").alias("shared"),
-        F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("n_a"),
-        F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("n_b"),
+        F.when(F.col("p") < F.col("q"), F.col("nx")).otherwise(F.col("ny")).alias("n_a"),
+        F.when(F.col("p") < F.col("q"), F.col("ny")).otherwise(F.col("nx")).alias("n_b"),
     )
     return members, links
 
