@@ -4,10 +4,12 @@ The total is the largest at which every source reaches its share within its cap;
 source's records then have the same expected number of copies. The fractions are rounded
 by pivotal dependent rounding: two fractional records exchange token mass, at random but
 without changing either's expectation, until one of them is integral, so a source's tokens
-stay what they were. Each task rounds its own records and is left with one fractional
-record for each source; these residuals meet in a reduction tree of fixed fan-in until one
-is left for each source, which a last draw settles. A source misses its share by less than
-one record.
+stay what they were. The largest records of each source (LARGEST of them) are rounded first and
+exchange their mass with all others at once, through the others' expected copies, since
+one of them may weigh more than many. Each task then rounds its own records from large to small and leaves the last,
+smallest ones and the residual fractional; these meet in a reduction tree of fixed fan-in,
+and at its root all are settled but one small record for each source, which a last draw
+settles. A source misses its share by less than that record.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.tokens import VOCABULARY, token_sizes
 from codelode.session import materialise
 
-FAN_IN, SEED = 32, 20240501
+FAN_IN, RESERVE, LARGEST, SEED = 32, 64, 64, 20240501
 _ROW = "doc_id long, source string, tokens long, copies int, fraction double, node long"
 _NEAR = 1e-9
 
@@ -61,40 +63,46 @@ def pivot(records: Iterator[tuple[int, int, int, float]], seed: int) -> tuple[li
     return settled, open_
 
 
+_COLUMNS = ["doc_id", "source", "tokens", "copies", "fraction", "node"]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"fraction": "float64", "node": "Int64"})
+
+
+def _settle(records: list[tuple[int, int, int, float]], seed: int, reserve: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
+    """Round all but the `reserve` smallest records; what is still fractional comes back."""
+    records = sorted(records, key=lambda r: (-r[1], r[0]))
+    cut = max(len(records) - reserve, 0)
+    settled, open_ = pivot(records[:cut], seed)
+    return settled, ([open_] if open_ else []) + records[cut:]
+
+
 def _round_task(expected: dict[str, float], seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: dict[str, tuple[int, int, int, float]] = {}
+        left: dict[str, list[tuple[int, int, int, float]]] = {}
         node = 0
         for batch in batches:
             rows = []
             for source, group in batch.groupby("source", sort=True):
                 c = expected[source]
                 whole, p = int(c + _NEAR), max(c - int(c + _NEAR), 0.0)
-                # from large to small: what stays open at the end is then a small record
-                group = group.sort_values(["tokens", "doc_id"], ascending=[False, True])
                 records = [(d, t, whole, p) for d, t in zip(group["doc_id"].tolist(), group["tokens"].tolist())]
-                held = left.pop(source, None)
-                settled, open_ = pivot(([held] if held else []) + records, seed)
+                settled, left[source] = _settle(left.get(source, []) + records, seed, RESERVE)
                 rows += [(d, source, t, w, None, None) for d, t, w in settled]
-                if open_:
-                    left[source] = open_
                 node = int(group["place"].iloc[0]) >> 33  # the task's own number
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "tokens", "copies", "fraction", "node"]).astype({"fraction": "float64", "node": "Int64"})
-        rows = [(d, source, t, w, p, node) for source, (d, t, w, p) in left.items()]
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "tokens", "copies", "fraction", "node"]).astype({"fraction": "float64", "node": "Int64"})
+            yield _frame(rows)
+        yield _frame([(d, source, t, w, p, node) for source, some in left.items() for d, t, w, p in some])
 
     return run
 
 
-def _round_group(seed: int):
+def _round_group(seed: int, reserve: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tokens", "doc_id"], ascending=[False, True])
-        settled, open_ = pivot(zip(group["doc_id"].tolist(), group["tokens"].tolist(), group["copies"].tolist(), group["fraction"].tolist()), seed)
+        records = list(zip(group["doc_id"].tolist(), group["tokens"].tolist(), group["copies"].tolist(), group["fraction"].tolist()))
+        settled, left = _settle(records, seed, reserve)
         source, node = group["source"].iloc[0], int(group["parent"].iloc[0])
-        rows = [(d, source, t, w, None, None) for d, t, w in settled]
-        if open_:
-            rows.append((open_[0], source, open_[1], open_[2], open_[3], node))
-        return pd.DataFrame(rows, columns=["doc_id", "source", "tokens", "copies", "fraction", "node"]).astype({"fraction": "float64", "node": "Int64"})
+        return _frame([(d, source, t, w, None, None) for d, t, w in settled] + [(d, source, t, w, p, node) for d, t, w, p in left])
 
     return run
 
@@ -113,6 +121,25 @@ def plan_mixture(available: dict[str, int], targets: list[tuple[str, float, int]
     return total, {s: min(total * w / whole / available[s], float(m)) for s, w, m in live}
 
 
+def _round_largest(rows: list[tuple[str, int, int]], expected: dict[str, float], available: dict[str, int], caps: dict[str, int], seed: int) -> tuple[list[tuple[int, str, int, int]], dict[str, float]]:
+    """((doc_id, source, tokens, copies) of the largest records, expected copies of the others).
+
+    rows: (source, doc_id, tokens). What the largest take too much or too little the others
+    give or get, so a source's expected tokens stay.
+    """
+    out, rest = [], dict(expected)
+    for source, c in expected.items():
+        others, due = available[source], c * available[source]
+        for d, t in sorted(((d, t) for s, d, t in rows if s == source), key=lambda r: (-r[1], r[0])):
+            copies = int(c + _NEAR)
+            copies += _draw(seed, "large", d) < max(c - copies, 0.0)
+            out.append((d, source, t, copies))
+            others, due = others - t, due - copies * t
+            c = min(max(due / others, 0.0), float(caps[source])) if others > 0 else 0.0
+        rest[source] = c
+    return out, rest
+
+
 def _targets(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
     """Targets by normal source; a source named twice counts with both shares and the lower cap."""
     rows = mix_targets.filter("source is not null").groupBy(_normal("source").alias("source")).agg(F.sum("target_share").alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("m"))
@@ -150,20 +177,23 @@ def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: st
     _, expected = plan_mixture(have, targets)
     if not expected:
         return empty, stock, targets
-    rounded = materialise(sized.filter(F.col("source").isin(*expected) & (F.col("tokens") > 0)).mapInPandas(_round_task(expected, seed), _ROW), "p8-rounded")
+    usable = sized.filter(F.col("source").isin(*expected) & (F.col("tokens") > 0))
+    by_size = Window.partitionBy("source").orderBy(F.desc("tokens"), "doc_id", "place")
+    top = usable.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= LARGEST).collect()  # LARGEST rows a source
+    large, expected = _round_largest([(r["source"], r["doc_id"], r["tokens"]) for r in top], expected, have, {s: m for s, _, m in targets}, seed)
+    rounded = materialise(usable.filter(~F.col("place").isin([r["place"] for r in top])).mapInPandas(_round_task(expected, seed), _ROW), "p8-rounded")
     done = [rounded.filter("fraction is null")]
     open_ = rounded.filter("fraction is not null")
-    level = 0
-    while True:
-        state = open_.agg(F.count("*").alias("n"), F.count_distinct("source").alias("k")).first()
-        if state["n"] == state["k"]:
-            break
+    level, root = 0, False
+    while not root:
+        state = open_.agg(F.count_distinct("source", "node").alias("nodes"), F.count_distinct("source").alias("sources")).first()
+        root = state["nodes"] <= state["sources"]
         level += 1
-        grouped = open_.withColumn("parent", F.floor(F.col("node") / FAN_IN)).groupBy("source", "parent").applyInPandas(_round_group(seed + level), _ROW)
+        grouped = open_.withColumn("parent", F.lit(0) if root else F.floor(F.col("node") / FAN_IN)).groupBy("source", "parent").applyInPandas(_round_group(seed + level, 0 if root else RESERVE), _ROW)
         step = materialise(grouped, "p8-tree")
         done.append(step.filter("fraction is null"))
         open_ = step.filter("fraction is not null")
-    last = [(r["doc_id"], r["source"], r["tokens"], r["copies"] + int(_draw(seed, "last", r["doc_id"]) < r["fraction"])) for r in open_.collect()]
+    last = large + [(r["doc_id"], r["source"], r["tokens"], r["copies"] + int(_draw(seed, "last", r["doc_id"]) < r["fraction"])) for r in open_.collect()]
     out = spark.createDataFrame(last, "doc_id long, source string, tokens long, copies int")
     for part in done:
         out = out.unionByName(part.select("doc_id", "source", "tokens", "copies"))
