@@ -46,16 +46,21 @@ def _kept(token: Column) -> Column:
     return F.length(token).between(TOKEN_MIN, TOKEN_MAX) & ~token.isin(*STOPWORDS)
 
 
-def _of_word(word: Column) -> Column:
-    pieces = parts(word)
-    whole = F.lower(F.replace(word, F.lit("_"), F.lit("")))
-    both = F.concat(F.filter(pieces, _kept), F.when((F.size(pieces) > 1) & _kept(whole), F.array(whole)).otherwise(F.array().cast("array<string>")))
-    return F.transform(both, stem)
+def _with_parts(word: Column) -> Column:
+    """struct(word, its parts); words without capitals and underscores skip the pattern."""
+    plain = (word == F.lower(word)) & ~F.contains(word, F.lit("_"))
+    return F.struct(word.alias("w"), F.when(plain, F.array(word)).otherwise(parts(word)).alias("p"))
+
+
+def _emitted(pair: Column) -> Column:
+    whole = F.lower(F.replace(pair["w"], F.lit("_"), F.lit("")))
+    return F.when(F.size(pair["p"]) > 1, F.array_append(pair["p"], whole)).otherwise(pair["p"])
 
 
 def tokens(text: Column) -> Column:
     """Stemmed parts of every word and, of words in several parts, the whole; null text gives none."""
-    return F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), _of_word))
+    pairs = F.transform(words(F.coalesce(text, F.lit(""))), _with_parts)
+    return F.transform(F.filter(F.flatten(F.transform(pairs, _emitted)), _kept), stem)
 
 
 def path_tokens(path: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.paths import hashing_embedding
 from codelode.functions.text import tokens
-from codelode.session import maybe_broadcast
+from codelode.session import materialise, maybe_broadcast
 
 
 class RetrievalError(ValueError):
@@ -85,10 +85,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
     Only terms that some query holds are exploded into rows, before any shuffle; the rest of
     a document counts by its length alone.
     """
-    n, avgdl = corpus_stats(docs, text)
+    # the token lists are written once and read by every step that follows
+    listed = materialise(docs.select("doc_id", tokens(F.col(text)).alias("tokens")), "bm25-tokens")
+    row = listed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("a")).first()
+    n, avgdl = int(row["n"]), float(row["a"] or 0.0)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    listed = docs.select("doc_id", tokens(F.col(text)).alias("tokens"))
     rows = listed.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(maybe_broadcast(vocabulary), "term", "left_semi")
     tf = rows.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     weighted = tf.join(maybe_broadcast(term_stats(tf, n)), "term")

@@ -11,13 +11,13 @@ from codelode.functions.languages import EXTENSION_LANGUAGE, NON_PROGRAMMING, _F
 from codelode.functions.paths import branch_ok, repository_url, sha_ok
 from codelode.functions.text import STOPWORDS, line_count, tokens
 from codelode.operators import catalog, chunking, evaluation, python_analysis, resolution, retrieval
-from codelode.session import once_by_id, read_table
+from codelode.session import once_by_id, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text").filter("text is not null"))
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def repository_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    out = chunking.documents_as_chunks(read_table(spark, d, "documents"))
+    out = chunking.documents_as_chunks(spread(read_table(spark, d, "documents").select("doc_id", "repository_id", "text")))
     return out.select("id", "file_path", "chunk_type", "qualified_name", "start_line", "end_line", "token_count")
 
 
@@ -197,7 +197,7 @@ def python_modules(spark: SparkSession, d: str) -> DataFrame:
 
 def _python_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = once_by_id(read_table(spark, d, "code_chunks")).filter("language = 'python'")
-    return chunks.select("repository_id", F.concat_ws("#", "file_path", "id").alias("path"), "content")
+    return spread(chunks.select("repository_id", F.concat_ws("#", "file_path", "id").alias("path"), "content"))
 
 
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,20 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+#: Inputs estimated below this many bytes are dealt out to all cores before heavy row work.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is so small that it would be read as one split.
+
+    Larger inputs come in enough splits and stay as they are.
+    """
+    if estimated_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
