@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codelode.functions.languages import EXTENSION_LANGUAGE, NON_PROGRAMMING, _FILENAMES, language_of, worth_chunking
 from codelode.functions.paths import branch_ok, repository_url, sha_ok
 from codelode.functions.text import STOPWORDS, line_count, tokens
-from codelode.operators import catalog, chunking, evaluation, python_analysis, resolution, retrieval
+from codelode.operators import catalog, chunking, ecmascript_analysis, evaluation, python_analysis, resolution, retrieval
 from codelode.session import once_by_id, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,12 +212,19 @@ def python_imports(spark: SparkSession, d: str) -> DataFrame:
     return resolution.resolve_python_absolute(placed, files).select("repository_id", "path", "module", "status", "resolved_path", "package")
 
 
+def script_symbols(spark: SparkSession, d: str) -> DataFrame:
+    chunks = once_by_id(read_table(spark, d, "code_chunks")).filter("language in ('javascript', 'typescript', 'tsx')")
+    files = spread(chunks.select("repository_id", F.concat_ws("#", "file_path", "id").alias("path"), "content"))
+    rows = ecmascript_analysis.analyze_ecmascript(files).select("path", F.inline("symbols"))
+    return rows.select("path", "qualified_name", "kind", "start_line", "end_line", "is_exported", F.size("parameters").alias("parameters"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         tokenizer_terms, bm25_term_stats, bm25_topk, bm25_evaluation, search_hybrid, search_reranked, dense_topk, fusion_rrf, fusion_weighted, latency_percentiles,
         file_language, document_lines, symbol_search, exported_classes, file_list, files_not_analyzed, language_stats, primary_language, language_share, latest_job,
         several_active, jobs_page, symbol_outline, symbol_ancestors, directory_rollup, symbol_summary, skipped_files, edge_aggregate, edges_of_node, repository_checks,
-        document_chunks, python_modules, python_symbols, python_imports,
+        document_chunks, python_modules, python_symbols, python_imports, script_symbols,
     )
     return {f.__name__: f for f in every}
 
