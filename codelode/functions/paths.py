@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,8 +104,8 @@ def git_failure(stderr: Column) -> Column:
 def hashing_embedding(tokens: list[str], size: int = 256) -> list[float]:
     """Signed feature hashing of tokens into a unit vector."""
     v = [0.0] * size
-    for t in tokens:
+    for t, n in Counter(tokens).items():
         d = hashlib.blake2b(t.encode(), digest_size=8).digest()
-        v[int.from_bytes(d[:4], "big") % size] += 1.0 if d[4] & 1 else -1.0
+        v[int.from_bytes(d[:4], "big") % size] += n if d[4] & 1 else -n
     norm = max(sum(x * x for x in v) ** 0.5, 1e-12)
     return [x / norm for x in v]

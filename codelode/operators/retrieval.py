@@ -163,10 +163,14 @@ def _embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "embedding": [hashing_embedding(list(t)) for t in batch["tokens"]]})
 
 
-def embed_documents(docs: DataFrame, text: str = "text", max_chars: int = 2000) -> DataFrame:
-    """(doc_id, embedding): hashed token vectors of 256 dimensions; tokens are made in the JVM."""
+def embed_documents(docs: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """(doc_id, embedding): hashed token vectors of 256 dimensions; tokens are made in the JVM.
+
+    The whole text counts; max_chars, where a caller gives it, keeps a prefix.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", tokens(F.substring(F.col(text), 1, max_chars)).alias("tokens")).mapInPandas(_embed, f"doc_id {kind}, embedding array<double>")
+    whole = F.col(text) if max_chars is None else F.substring(F.col(text), 1, max_chars)
+    return docs.select("doc_id", tokens(whole).alias("tokens")).mapInPandas(_embed, f"doc_id {kind}, embedding array<double>")
 
 
 def fuse(lists: dict[str, DataFrame], method: str = "rrf", weights: dict[str, float] | None = None, rrf_k: int = 60, k: int | None = None) -> DataFrame:

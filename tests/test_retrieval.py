@@ -96,6 +96,17 @@ def test_unique_files(spark):
     assert evaluation.ranked_files(rows).collect()[0]["retrieved"] == ["x", "y"]
 
 
+def test_dense_sees_the_whole_text(spark):
+    filler = "alpha beta gamma " * 200  # the term stands only after character 2,000
+    docs = spark.createDataFrame([(1, filler), (2, filler + "zebra " * 400)], "doc_id long, text string")
+    v = {r["doc_id"]: r["embedding"] for r in retrieval.embed_documents(docs).collect()}
+    assert v[1] != v[2]
+    short = {r["doc_id"]: r["embedding"] for r in retrieval.embed_documents(docs, max_chars=2000).collect()}
+    assert short[1] == short[2]
+    got = retrieval.search(docs, queries(spark, "zebra"), SearchOptions(strategy="dense", top_k=1)).collect()
+    assert [r["doc_id"] for r in got] == [2] and got[0]["score"] > 0.5
+
+
 def test_embedding_is_unit(spark, docs):
     v = {r["doc_id"]: r["embedding"] for r in retrieval.embed_documents(docs).collect()}
     assert sum(x * x for x in v[1]) == pytest.approx(1.0) and sum(map(abs, v[4])) == 0.0
