@@ -61,6 +61,7 @@ _WANTED = sorted(set().union(*map(trigrams_of, _QUERIES)))
 #: A string literal that goes on in the next literal of the same line.
 _JOIN = re.compile(r"(?P<q>[\"'`])[ \t]*(?:\+|\.{1,2}|&|\|\||<>|\\)?[ \t]*(?P=q)(?=[^\s\"'`,;)\]}])")
 _JOINED = _COMPILED[:9] + tuple(x for x in _COMPILED if x[0] in ("address", "named, quoted"))
+_JOINED_QUERIES = tuple(q for q, x in zip(_QUERIES, _COMPILED) if x in _JOINED)
 
 #: Values that stand for "put yours here", or point elsewhere. Fixed values.
 _PLACEHOLDER = re.compile(
@@ -236,6 +237,16 @@ def redact(text: str, found: list[tuple[int, int, str, int]]) -> str:
     return "".join(out)
 
 
+def _joined_hits(index: BlockIndex, texts: pa.Array) -> np.ndarray:
+    """Whether each text, its split literals put together, is a candidate of a pattern that runs on them so."""
+    hit = np.zeros(len(texts), bool)
+    whole = [(r, joined[0]) for r, text in enumerate(texts.to_pylist()) if (joined := _joined(text))]
+    if whole:
+        index.build(pa.array([t for _, t in whole], pa.large_string()))
+        hit[[r for r, _ in whole]] = np.any([index.candidates(q) for q in _JOINED_QUERIES], axis=0)
+    return hit
+
+
 def _finder(blank: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = BlockIndex(_WANTED)
@@ -243,7 +254,7 @@ def _finder(blank: bool):
             texts = as_string(batch.column(3))
             index.build(texts)
             hits = np.stack([index.candidates(q) for q in _QUERIES])
-            rows = np.flatnonzero(hits.any(axis=0))
+            rows = np.flatnonzero(hits.any(axis=0) | _joined_hits(index, texts))
             ids, paths, languages = (batch.column(k) for k in range(3))
             out_id, out_line, out_kind, out_text, out_n = [], [], [], [], []
             for r in rows.tolist():

@@ -170,6 +170,15 @@ def test_credentials(spark):
     assert found(spark, HARMLESS) == set()
 
 
+SPLIT = ['x = "sk_" + "live_a1B2c3D4e5F6g7H8i9"', "y = 'AK' + 'IAQ7WERTY2UIOP4ASD'", 'z = "eyJhbGciOiJIUzI1NiJ9" + ".eyJzdWIiOiJ1MTIzIn0.c2lnbmF0dXJlX3g"']
+
+
+def test_literals_split_within_what_a_pattern_requires(spark):
+    assert found(spark, [(t, "a.js") for t in SPLIT]) == {(i, 2) for i in range(len(SPLIT))}
+    for r in credentials.redacted(chunks(spark, *SPLIT, path="a.js")).collect():
+        assert r["content"] != SPLIT[int(r["id"][1:])] and credentials.spans(r["content"], True) == []
+
+
 def test_private_key_and_redaction(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("Qw3rTy7+/a" * 6 for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----"
     texts = [f'K = """{key}"""\nz = 1\n', "K = '" + key.replace("\n", "\\n") + "'", *(t for t, _ in SECRET)]
