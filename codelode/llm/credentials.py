@@ -33,27 +33,28 @@ _AFTER_NAME = (
     r"(?![A-Za-z0-9])(?:[\"'`\])*]{0,4}\s{0,4})(?::\s{0,2}[A-Za-z]+(?:\[[A-Za-z]+\])?(?:\s?\|\s?\w+)?\s{0,2}=|:=|=>|->|\|\|=|\?\?=?|\|\||={1,3}|,\s{0,2}[\"']?value[\"']?\s{0,2}[:=]|\s[\"']?value[\"']?\s{0,2}[:=]|:|,|\||>|\bis\b|\bby\b|\bwith\b)?\s{0,8}"
 )
 #: Patterns whose group `value` is the credential. `judge` tells how the value is tested.
+#: Values have no greatest length; where one is followed by a sign that it can't hold, it is possessive.
 DETECTORS: tuple[tuple[str, str, str], ...] = (
     ("cloud key id", r"(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])", "exact"),
-    ("host token", r"(?<![A-Za-z0-9])(?P<value>gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,255}|glpat-[A-Za-z0-9_-]{18,64})", "exact"),
-    ("chat token", r"(?<![A-Za-z0-9])(?P<value>xox[abeoprs]-[A-Za-z0-9-]{12,255}|xapp-[A-Za-z0-9-]{20,255})", "exact"),
-    ("maps key", r"(?<![A-Za-z0-9])(?P<value>AIza[A-Za-z0-9_-]{30,40})", "exact"),
-    ("registry token", r"(?<![A-Za-z0-9])(?P<value>npm_[A-Za-z0-9]{30,64}|pypi-[A-Za-z0-9_-]{40,255}|dckr_pat_[A-Za-z0-9_-]{20,64}|hf_[A-Za-z0-9]{30,64})", "exact"),
-    ("payment key", r"(?<![A-Za-z0-9])(?P<value>[sr]k_(?:live|test)_[A-Za-z0-9]{14,255}|whsec_[A-Za-z0-9+/=]{20,255}|sq0csp-[A-Za-z0-9_-]{40,64})", "exact"),
-    ("service token", r"(?<![A-Za-z0-9])(?P<value>SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}|shp(?:at|ss|ca|pa)_[a-f0-9]{32}|dop_v1_[a-f0-9]{64}|ya29\.[A-Za-z0-9_-]{20,255}|sk-[A-Za-z0-9_-]{32,255}|hvs\.[A-Za-z0-9_-]{20,255})", "exact"),
-    ("webhook address", r"hooks\.slack\.com/services/(?P<value>T[A-Z0-9]{6,12}/B[A-Z0-9]{6,12}/[A-Za-z0-9]{16,32})", "exact"),
+    ("host token", r"(?<![A-Za-z0-9])(?P<value>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{18,})", "exact"),
+    ("chat token", r"(?<![A-Za-z0-9])(?P<value>xox[abeoprs]-[A-Za-z0-9-]{12,}|xapp-[A-Za-z0-9-]{20,})", "exact"),
+    ("maps key", r"(?<![A-Za-z0-9])(?P<value>AIza[A-Za-z0-9_-]{30,})", "exact"),
+    ("registry token", r"(?<![A-Za-z0-9])(?P<value>npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{40,}|dckr_pat_[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{30,})", "exact"),
+    ("payment key", r"(?<![A-Za-z0-9])(?P<value>[sr]k_(?:live|test)_[A-Za-z0-9]{14,}|whsec_[A-Za-z0-9+/=]{20,}|sq0csp-[A-Za-z0-9_-]{40,})", "exact"),
+    ("service token", r"(?<![A-Za-z0-9])(?P<value>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|shp(?:at|ss|ca|pa)_[a-f0-9]{32}|dop_v1_[a-f0-9]{64}|ya29\.[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9_-]{32,}|hvs\.[A-Za-z0-9_-]{20,})", "exact"),
+    ("webhook address", r"hooks\.slack\.com/services/(?P<value>T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,})", "exact"),
     ("signed session", r"(?<![A-Za-z0-9])(?P<value>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "exact"),
     ("private key", r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<value>(?:\\[rn]|[\"'`+\s#/*;,\\-]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*){0,60}[A-Za-z0-9+/=]{16,})", "key"),
-    ("address", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'`<>]{0,80}:(?P<value>[^\s/@\"'`<>]{3,512})@[A-Za-z0-9\[{$.-]", "address"),
-    ("address query", r"[?&](?:api[_-]?key|key|sig|signature|[a-z_]{0,20}token|auth|secret|client_secret|password|passwd|pwd|sid|code)=(?P<value>[^&\s\"'`<>|)]{8,1024})", "plain"),
-    ("header", r"authorization[\"'\])]{0,3}\s{0,3}[:=,]{1,2}\s{0,3}[\"'`]{0,2}\s{0,2}(?P<scheme>basic|bearer|token|digest|apikey)\s{1,3}(?P<value>[^\s\"'`,;<>]{6,2048})", "header"),
-    ("cookie", r"cookie[\"'\])]{0,3}[:=,\s]{1,3}[\"'`]?(?:[^\n\"'`]{0,80}[;\s])?(?:[A-Za-z_]{0,12}sid|[A-Za-z_]{0,12}session(?:_?id)?|auth|jwt|[A-Za-z_]{0,12}token)=(?P<value>[^;\s\"'`]{8,2048})", "plain"),
-    ("command user", r"(?:curl|wget|http|https)\b[^\n]{0,200}?\s(?:-u|--user|--proxy-user)[\s=]{1,2}[\"']?[^\s:\"']{1,64}:(?P<value>[^\s\"']{4,256})", "user"),
-    ("command password", r"(?:sshpass\s{1,2}-p|mysql\w{0,8}\b[^\n]{0,100}?\s-p|redis-cli\b[^\n]{0,100}?\s-a|docker\s{1,2}login\b[^\n]{0,100}?\s-p)\s?[\"']?(?P<value>[^\s\"']{6,256})", "plain"),
-    ("short name", r"(?<![A-Za-z0-9])pw(?: is |: ?|= ?| = )[\"'`]?(?P<value>[^\s\"'`,;]{5,1024})", "plain"),
-    ("named, quoted", _NAME + _AFTER_NAME + r"(?:[A-Za-z_.]{1,24}\(\s{0,2})?[rbuf@$]{0,2}(?P<quote>[\"'`])(?P<value>[^\"'`\n]{4,2048})(?P=quote)", "named"),
-    ("named, bare", _NAME + _AFTER_NAME + r"(?P<value>[^\s\"'`,;|<>(){}\[\]]{5,2048})(?=[\s,;|<\"'`)}]|$)", "bare"),
-    ("named, next line", r"name[\"']?\s{0,2}[:=]\s{0,2}[\"']?[A-Za-z0-9_.-]{0,60}" + _NAME + r"[\"']?,?[ \t]{0,4}\r?\n[ \t-]{0,40}[\"']?value[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[^\s\"']{5,2048})", "plain"),
+    ("address", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'`<>]{0,80}:(?P<value>[^\s/@\"'`<>]{3,}+)@[A-Za-z0-9\[{$.-]", "address"),
+    ("address query", r"[?&](?:api[_-]?key|key|sig|signature|[a-z_]{0,20}token|auth|secret|client_secret|password|passwd|pwd|sid|code)=(?P<value>[^&\s\"'`<>|)]{8,})", "plain"),
+    ("header", r"authorization[\"'\])]{0,3}\s{0,3}[:=,]{1,2}\s{0,3}[\"'`]{0,2}\s{0,2}(?P<scheme>basic|bearer|token|digest|apikey)\s{1,3}(?P<value>[^\s\"'`,;<>]{6,})", "header"),
+    ("cookie", r"cookie[\"'\])]{0,3}[:=,\s]{1,3}[\"'`]?(?:[^\n\"'`]{0,80}[;\s])?(?:[A-Za-z_]{0,12}sid|[A-Za-z_]{0,12}session(?:_?id)?|auth|jwt|[A-Za-z_]{0,12}token)=(?P<value>[^;\s\"'`]{8,})", "plain"),
+    ("command user", r"(?:curl|wget|http|https)\b[^\n]{0,200}?\s(?:-u|--user|--proxy-user)[\s=]{1,2}[\"']?[^\s:\"']{1,64}:(?P<value>[^\s\"']{4,})", "user"),
+    ("command password", r"(?:sshpass\s{1,2}-p|mysql\w{0,8}\b[^\n]{0,100}?\s-p|redis-cli\b[^\n]{0,100}?\s-a|docker\s{1,2}login\b[^\n]{0,100}?\s-p)\s?[\"']?(?P<value>[^\s\"']{6,})", "plain"),
+    ("short name", r"(?<![A-Za-z0-9])pw(?: is |: ?|= ?| = )[\"'`]?(?P<value>[^\s\"'`,;]{5,})", "plain"),
+    ("named, quoted", _NAME + _AFTER_NAME + r"(?:[A-Za-z_.]{1,24}\(\s{0,2})?[rbuf@$]{0,2}(?P<quote>[\"'`])(?P<value>[^\"'`\n]{4,}+)(?P=quote)", "named"),
+    ("named, bare", _NAME + _AFTER_NAME + r"(?P<value>[^\s\"'`,;|<>(){}\[\]]{5,}+)(?=[\s,;|<\"'`)}]|$)", "bare"),
+    ("named, next line", r"name[\"']?\s{0,2}[:=]\s{0,2}[\"']?[A-Za-z0-9_.-]{0,60}" + _NAME + r"[\"']?,?[ \t]{0,4}\r?\n[ \t-]{0,40}[\"']?value[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[^\s\"']{5,})", "plain"),
 )
 _COMPILED = tuple((name, re.compile(p, re.I | re.M) if name not in ("cloud key id", "signed session", "maps key", "private key") else re.compile(p, re.M), judge) for name, p, judge in DETECTORS)
 _QUERIES = tuple(required(p) for _, p, _ in DETECTORS)

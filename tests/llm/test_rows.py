@@ -179,6 +179,20 @@ def test_literals_split_within_what_a_pattern_requires(spark):
         assert r["content"] != SPLIT[int(r["id"][1:])] and credentials.spans(r["content"], True) == []
 
 
+LONG = "a1B2c3D4e5F6g7H8" * 200
+LONG_VALUES = [
+    (f'service_account_key = "{LONG}"', "a.py"), (f"api_key: {LONG}\n", "a.yaml"), (f"u = 'https://x.invalid/?sig={LONG}'", "a.py"), (f"headers['Authorization'] = 'Bearer {LONG}'", "a.py"), (f"cookie: sid={LONG};", "a.yaml"),
+    (f"u = 'postgres://u:{LONG}@db.invalid/x'", "a.py"), (f"curl -u group:{LONG} https://x.invalid/", "a.sh"), (f"// pw is {LONG}", "a.js"), (f'x = "xoxb-{LONG}"', "a.js"),
+]
+
+
+def test_values_have_no_greatest_length(spark):
+    assert found(spark, LONG_VALUES) == {(i, 2) for i in range(len(LONG_VALUES))}
+    for text, path in LONG_VALUES:
+        clean = credentials.redact(text, credentials.spans(text, credentials._plain(path, None)))
+        assert len(clean) == len(text) and "D4e5F6" not in clean
+
+
 def test_private_key_and_redaction(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("Qw3rTy7+/a" * 6 for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----"
     texts = [f'K = """{key}"""\nz = 1\n', "K = '" + key.replace("\n", "\\n") + "'", *(t for t, _ in SECRET)]
