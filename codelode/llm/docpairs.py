@@ -45,9 +45,44 @@ INNER = regex.compile(
 (?P<above> (?: [ \t]*\#[^\n]*\n )* )
 (?P<indent> [ \t]* ) (?P<signature> (?:async\s+)? def\s+ \w+ \s* (?&par) (?: \s*->\s* [^:\n]+ )? ) \s* :
 [ \t]*(?:\#[^\n]*)? \n? (?P<comment> \s* [rRuU]? (?: \"{3}(?s:.*?)\"{3} | '{3}(?s:.*?)'{3} | (?&str) ) )?
+(?= (?P<body> [^\n]* (?: \n (?: [ \t]* (?=\n|\Z) | (?P=indent)[ \t]+ [^\n]* ) )* ) )
 """,
     regex.X | regex.M,
 )
+#: As _PIECES, but what is once read is not read otherwise, and comments are protected too.
+_FIRM = r"""
+(?(DEFINE)
+  (?P<com> //[^\n]*+ | /\*(?:[^*]|\*(?!/))*+\*/ )
+  (?P<str> "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' | `(?:[^`\\]|\\.)*+` )
+  (?P<par> \( (?> (?&com) | (?&str) | (?&par) | (?&brk) | (?&brc) | [^()\[\]{}"'`/]++ | ["'`/] )*+ \) )
+  (?P<brk> \[ (?> (?&com) | (?&str) | (?&par) | (?&brk) | (?&brc) | [^()\[\]{}"'`/]++ | ["'`/] )*+ \] )
+  (?P<brc> \{ (?> (?&com) | (?&str) | (?&par) | (?&brk) | (?&brc) | [^()\[\]{}"'`/]++ | ["'`/] )*+ \} )
+  (?P<shb> \{ (?> \\. | "(?:[^"\\\n]|\\.)*+" | '[^'\n]*+' | (?&shb) | [^{}"'\\]++ | ["'\\] )*+ \} )
+)
+"""
+_COMMENT = r"(?P<comment> /\*(?:[^*]|\*(?!/))*+\*/ | (?: [ \t]*//[^\n]*\n )++ ) \s* "
+#: Words that begin no declaration of a function by its type.
+_NO_TYPE = r"(?!(?:return|else|if|for|while|switch|catch|new|throw|case|do|await|yield|function|const\s+\w+\s*=|let|var|func|def|class|interface|struct\s*\{|enum|namespace|typeof|delete|in|of|go|defer|try|finally|with|using|import|goto|sizeof)\b)"
+#: Go functions and methods, functions kept in a variable (ECMAScript), functions headed by a type (C, Java and similar), shell functions.
+#: Bodies are looked at, not passed over, so that functions within them are found.
+DECLARED = tuple(
+    regex.compile(_FIRM + pattern, regex.X)
+    for pattern in (
+        _COMMENT
+        + r"""(?P<signature> func \s* (?: (?&par) \s* )? (?P<name> \w+ ) \s* (?&brk)? \s* (?&par) (?: [ \t]* (?: (?&par) | (?: (?:interface|struct)\{\} | [^{}()\n] | (?&par) )+? ) )? )
+        [ \t]* (?= (?P<body> (?&brc) ) )""",
+        _COMMENT
+        + r"""(?P<signature> (?: (?:export|default|public|private|protected|static|readonly|declare)\s+ )* (?: (?:const|let|var)\s+ )? (?P<name> [\w$\#]+ ) (?: \s*[?!]?:\s* (?:[^=\n;]|=>)+? )? \s*=\s* (?:async\s*)?
+            (?: function\s*\*?\s*[\w$]*\s* (?:<[^<>\n]*>)? (?&par) (?: \s*:\s* [^{};=\n]+ )? (?=\s*\{) | (?: (?:<[^<>\n]*>\s*)? (?&par) (?: \s*:\s* (?:[^{};=\n]|(?&brc))+? )? | [\w$]+ ) \s*=> ) )
+        \s* (?= (?P<body> (?&brc) | (?> (?&com) | (?&str) | (?&par) | (?&brk) | (?&brc) | [^()\[\]{}"'`;\n] )++ ) )""",
+        _COMMENT
+        + r"""(?P<signature> (?: @\w[^\n]*\n\s* )* (?: """ + _NO_TYPE + r""" (?: [A-Za-z_][\w.:]*+ (?: <(?:[^<>{}();\n]|<[^<>{}();\n]*>)*> )? | <[^<>{}();\n]*> ) (?:\[\s*\])*+ [\s*&]++ )+ """ + _NO_TYPE + r"""
+            (?P<name> ~?[A-Za-z_][\w:~]*+ ) \s* (?&par) (?: \s* (?: const\b | noexcept\b | override\b | final\b | throws\s+[\w., ]+ ) )* )
+        \s* (?= (?P<body> (?&brc) ) )""",
+        r"""(?P<comment> (?: (?<![^\n]) [ \t]*\#(?!!)[^\n]*\n )++ ) [ \t]* (?P<signature> (?: function[ \t]+ (?P<name> [\w:.-]+ ) (?: \s*\(\s*\) )? | (?P<name> [\w:.-]+ ) [ \t]*\(\s*\) ) )
+        \s* (?= (?P<body> (?&shb) ) )""",
+    )
+)
 
 #: What tools are told in comments, in any spelling. Fixed values.
 _TOOLS = (
@@ -224,13 +259,20 @@ def _from_source(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, text in zip(batch["id"], batch["content"]):
-            found = []
+            found, heads = [], set()
             for m in LEADING.finditer(text):
-                found.append((m.start(), m.group("signature").strip(), m.group("comment")))
+                found.append((m.start(), m.group("signature").strip(), m.group("comment"), ""))
+                heads.add(m.start("signature"))
             for m in INNER.finditer(text):
-                found.append((m.start(), m.group("signature").strip(), m.group("comment") or m.group("above") or ""))
-            for at, sig, comment in sorted(found):
-                name = (re.search(r"([\w$]+)\s*(?:<[^<>]*>)?\s*\(", sig) or re.search(r"(\w+)", sig)).group(1)
+                found.append((m.start(), m.group("signature").strip(), m.group("comment") or m.group("above") or "", ""))
+                heads.add(m.start("signature"))
+            for pattern in DECLARED:
+                for m in pattern.finditer(text):
+                    if m.start("signature") not in heads:
+                        found.append((m.start(), m.group("signature").strip(), m.group("comment"), m.group("name")))
+                        heads.add(m.start("signature"))
+            for at, sig, comment, name in sorted(found):
+                name = name or (re.search(r"([\w$]+)\s*(?:<[^<>]*>)?\s*\(", sig) or re.search(r"(\w+)", sig)).group(1)
                 said = description(comment, name)
                 if said:
                     rows.append((key, text.count("\n", 0, at) + 1, sig, said))
@@ -240,6 +282,8 @@ def _from_source(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pairs_from_source(files: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(id, line_no, signature, description) captured from source texts themselves.
 
+    Covered are ECMAScript functions, methods and functions kept in a variable, Python, Go,
+    shell, and functions headed by their type as in C and Java; others give no row.
     Null and empty texts give no row; a text counts once however often delivered.
     """
     rows = files.select(F.col(key).cast("string").alias("id"), F.col(content).alias("content")).filter(F.col("content").rlike(r"(?:/\*|//|#|def )"))

@@ -146,6 +146,24 @@ def test_pairs_from_source(spark):
     assert got == {("j", 1, "Loads the rows from disk."), ("p", 1, "Writes every row to disk.")}
 
 
+DECLARED = [
+    ("// Name reserves the next permit.\nfunc Reduce(wide *Inbox) error {\n\treturn x(76)\n}\n", "func Reduce(wide *Inbox) error"),
+    ("// Falls back to the oldest queue.\nfunc (r *Store[T]) Pick(a int) (string, error) { return `}`, nil }\n", "func (r *Store[T]) Pick(a int) (string, error)"),
+    ("/** Merges grants in place. */\nexport const join = async (a: A[], b = '}'): Promise<void> => {\n  go(a);\n};\n", "export const join = async (a: A[], b = '}'): Promise<void> =>"),
+    ("// Rounds up to whole cents.\nconst cents = x => Math.ceil(x * 100);\n", "const cents = x =>"),
+    ("/* Frees every node below. */\nstatic struct node *drop(struct node *n, int depth)\n{\n  if (n) { free(n); }\n  return 0;\n}\n", "static struct node *drop(struct node *n, int depth)"),
+    ("/** Reads rows until the end. */\npublic List<Map<String, Row>> rows(int n) throws IOException {\n  return null; // don't {\n}\n", "public List<Map<String, Row>> rows(int n) throws IOException"),
+    ("# Waits until the port answers.\nwait_port() {\n  until nc -z \"${HOST}\" 1; do sleep 1; done\n}\n", "wait_port()"),
+]
+
+
+def test_pairs_from_source_of_other_languages(spark):
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(DECLARED)] + [("x", "// Stops when all is read.\nelse if (a) { b(); }\n")], "id string, content string")
+    got = {(r["id"], r["line_no"], r["signature"]) for r in docpairs.pairs_from_source(df).collect()}
+    assert got == {(str(i), 1, sig) for i, (_, sig) in enumerate(DECLARED)}
+    assert docpairs.INNER.match('def f(x):\n    """Says it."""\n    if x:\n\n        return 1\nz = 2\n').group("body").strip() == "if x:\n\n        return 1"
+
+
 # ---- 4: credentials
 
 SECRET = [
