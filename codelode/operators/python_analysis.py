@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_SYMBOLS, MOST_RETRIES = 5000, 25
 SYMBOLS = "array<struct<name:string,qualified_name:string,kind:string,parent:string,start_line:int,end_line:int,signature:string,docstring:string,return_type:string,is_exported:boolean,is_async:boolean,decorators:array<string>,bases:array<string>,parameters:array<struct<name:string,type:string,default:string,kind:string>>>>"
 IMPORTS = "array<struct<module:string,level:int,kind:string,names:array<struct<name:string,alias:string>>,line:int,is_type_only:boolean>>"
 CALLS = "array<struct<callee:string,line:int,caller:string>>"
@@ -30,7 +29,7 @@ def parse(source: str) -> tuple[ast.Module | None, str]:
     """(tree, parsed | partial | failed)."""
     rows = source.split("\n")
     status = "parsed"
-    for _ in range(MOST_RETRIES):
+    while True:  # each round blanks a row at least
         try:
             return ast.parse("\n".join(rows)), status
         except (SyntaxError, ValueError) as error:
@@ -46,8 +45,9 @@ def parse(source: str) -> tuple[ast.Module | None, str]:
                 end += 1
             if not any(r.strip() for r in rows[begin : end + 1]):
                 begin, end = 0, end
+            if not any(rows[begin : end + 1]):
+                return None, "failed"
             rows[begin : end + 1] = [""] * (end + 1 - begin)
-    return None, "failed"
 
 
 def _parameters(a: ast.arguments) -> list[dict]:
@@ -155,8 +155,8 @@ def _all_names(tree: ast.Module) -> list[str] | None:
     return named
 
 
-def analyze(source: str) -> dict:
-    """status, symbols, imports, calls and exports of one file."""
+def analyze(source: str, most_symbols: int | None = None) -> dict:
+    """status, symbols, imports, calls and exports of one file; the first symbols only where a limit is given."""
     tree, status = parse(source)
     if tree is None:
         return {"status": status, "symbols": [], "imports": [], "calls": [], "exports": []}
@@ -167,24 +167,27 @@ def analyze(source: str) -> dict:
     exports = named if named is not None else [n for n in dict.fromkeys(top) if not n.startswith("_")]
     for s in walk.symbols:
         s["is_exported"] = s["parent"] is None and s["name"] in exports
-    return {"status": status, "symbols": walk.symbols[:MOST_SYMBOLS], "imports": walk.imports, "calls": walk.calls, "exports": exports}
+    return {"status": status, "symbols": walk.symbols[:most_symbols], "imports": walk.imports, "calls": walk.calls, "exports": exports}
+
 
+def _analyzer(most_symbols: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for repo, path, text in zip(batch["repository_id"], batch["path"], batch["content"]):
+                try:
+                    found = analyze(text or "", most_symbols)
+                except (RecursionError, MemoryError):
+                    found = {"status": "failed", "symbols": [], "imports": [], "calls": [], "exports": []}
+                rows.append((repo, path, found["status"], found["symbols"], found["imports"], found["calls"], found["exports"]))
+            yield pd.DataFrame(rows, columns=["repository_id", "path", "status", "symbols", "imports", "calls", "exports"])
 
-def _analyzer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for repo, path, text in zip(batch["repository_id"], batch["path"], batch["content"]):
-            try:
-                found = analyze(text or "")
-            except (RecursionError, MemoryError):
-                found = {"status": "failed", "symbols": [], "imports": [], "calls": [], "exports": []}
-            rows.append((repo, path, found["status"], found["symbols"], found["imports"], found["calls"], found["exports"]))
-        yield pd.DataFrame(rows, columns=["repository_id", "path", "status", "symbols", "imports", "calls", "exports"])
+    return run
 
 
-def analyze_python(files: DataFrame) -> DataFrame:
+def analyze_python(files: DataFrame, most_symbols: int | None = None) -> DataFrame:
     """PARSED rows of (repository_id, path, content) Python files; null contents are empty files."""
-    return files.select("repository_id", "path", "content").mapInPandas(_analyzer, PARSED)
+    return files.select("repository_id", "path", "content").mapInPandas(_analyzer(most_symbols), PARSED)
 
 
 def symbol_rows(parsed: DataFrame) -> DataFrame:

@@ -181,3 +181,12 @@ def test_catalog_pages(spark):
     with pytest.raises(ValueError):
         catalog.page(spark.range(3), ["id"], 0)
     assert catalog.envelope(spark.range(3), ["id"], 2, 1)["total"] == 3
+
+
+def test_python_many_faulty_blocks_and_symbols():
+    faulty = "".join(f"print 'step {n}'\n" for n in range(60))
+    got = python_analysis.analyze("import os\n" + faulty + "def late():\n    pass\n")
+    assert got["status"] == "partial" and [s["name"] for s in got["symbols"]] == ["late"] and [i["module"] for i in got["imports"]] == ["os"]
+    assert python_analysis.analyze(faulty)["symbols"] == []
+    many = "".join(f"def f{n}(): pass\n" for n in range(5001))
+    assert len(python_analysis.analyze(many)["symbols"]) == 5001 and len(python_analysis.analyze(many, 10)["symbols"]) == 10
