@@ -21,6 +21,10 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return frequency.marked_terms(read_table(spark, d, "code_chunks"), read_table(spark, d, "code_symbols"))
 
 
+def p1_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return frequency.ngram_frequencies(read_table(spark, d, "code_chunks"), "content", max_n=3)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, d, "code_chunks")).select("id").distinct()
 
@@ -100,7 +104,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """The queries by name; of each problem the one to be checked comes first."""
     every = (
-        p1_found, p1_terms, p2_found, p2_pieces, p3_found, p3_pairs, p3_source_pairs, p4_found, p4_redacted, p5_found, p5_groups,
+        p1_found, p1_terms, p1_ngrams, p2_found, p2_pieces, p3_found, p3_pairs, p3_source_pairs, p4_found, p4_redacted, p5_found, p5_groups,
         p6_found, p6_labels, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_levels,
     )
     return {f.__name__: f for f in every}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.llm import credentials, docpairs, frequency, splitting, trigrams
+from codelode.llm import credentials, docpairs, frequency, queries, splitting, trigrams
 
 CHUNK = "id string, file_path string, language string, chunk_type string, start_line int, content string, text string, k long"
 
@@ -43,6 +43,13 @@ def test_ngrams_against_brute_force(spark):
     assert got == brute(texts, 3)
 
 
+def test_ngram_query_over_a_whole_table(spark, tmp_path):
+    texts = ["ab cd ef ab cd", "ab cd", None, "", "ef ab cd ef"]
+    chunks(spark, *texts).write.parquet(f"{tmp_path}/code_chunks.parquet")
+    got = {(r["n"], r["gram"]): (r["occurrences"], r["records"]) for r in queries.queries()["p1_ngrams"](spark, str(tmp_path)).collect()}
+    assert got == brute(texts, 3) and {n for n, _ in got} == {1, 2, 3}
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "ab ab"), (None, "ab ab"), ("i", "ab")], "id string, content string")
     assert [(r["occurrences"], r["records"]) for r in frequency.ngram_frequencies(df, "content").collect()] == [(5, 3)]
