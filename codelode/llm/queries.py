@@ -38,7 +38,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented_pairs(read_table(spark, d, "code_symbols"))
+    """With the code of each symbol, captured from the chunk that holds it."""
+    return docpairs.with_bodies(docpairs.documented_pairs(read_table(spark, d, "code_symbols")), read_table(spark, d, "code_chunks"))
 
 
 def p3_source_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -127,14 +128,57 @@ TELLING = ["Falls back to the oldest profile if no reason is open.", "/**\n * Lo
 TRIVIAL = ["", "  ", "/** */", '""""""', "---------", "TODO: write docs", "noqa", "type: ignore", "pylint: disable=x", "See base class.", "{@inheritDoc}", "<p></p>", "&nbsp;", "Args:\n    x:\nReturns:", ":param x: the x\n:return: y", "@param {object} a - some thing\n@returns nothing", "Summary of save_row", "This function saves row.", "saveRow()", "Save row.", "lorem ipsum", "n/a", "Auto-generated method stub", "Parameters\n----------\nx : int\n    the number", "@deprecated use other"]
 
 
+def said(doc, name):
+    return docpairs.description(docpairs.capture(doc, "f()")[1], name)
+
+
 @pytest.mark.parametrize("doc", TELLING)
 def test_telling(doc):
-    assert docpairs.description(doc, "save_row")
+    assert said(doc, "save_row")
 
 
 @pytest.mark.parametrize("doc", TRIVIAL)
 def test_trivial(doc):
-    assert not docpairs.description(doc, "save_row")
+    assert not said(doc, "save_row")
+
+
+@pytest.mark.parametrize("doc", ["/**\n * @param x the row that must be kept\n *   and never lost again\n */", "Args:\n    row: a row that goes to disk\n", "# Parameters\n# ----------\n# album : the object to hide\n", "/**\n * @param a which table goes first\n */"])
+def test_capture_decides_what_is_prose(doc):
+    """Words that a plain look at the text would take for prose belong to a tag or section; without the capture they'd count."""
+    assert any(docpairs.says_something(s, "f") for s in docpairs.sentences(doc))
+    assert not said(doc, "f")
+
+
+def test_capture_keeps_whole_paragraphs():
+    doc = "/**\r\n * Reads one row.\r\n *\r\n * @param x which\r\n *   goes on\r\n *\r\n * Then closes the file.\r\n * @returns a row\r\n */"
+    sig, paragraphs = docpairs.capture(doc, "read(x = ')', y: {a: number}): void")
+    assert sig == "read(x = ')', y: {a: number}): void"
+    assert [s for p in paragraphs for s in docpairs.sentences(p)] == ["Reads one row.", "Then closes the file."]
+    assert docpairs.capture("", "weird ((")[0] == "weird (("
+
+
+def test_patterns_take_one_pass():
+    """Unclosed bodies and mismatched quotes don't make the patterns try every reading."""
+    text = "/** Says it. */\nfunction f(a) {" + "'\"" * 4000 + "{[(" * 2000 + "\n" + "def f(" + "'\"" * 4000
+    began = time.perf_counter()
+    for pattern in (docpairs.LEADING, docpairs.INNER, *docpairs.DECLARED):
+        list(pattern.finditer(text))
+    docpairs.capture("'\"" * 4000, "f(" + "'\"{[" * 2000)
+    assert time.perf_counter() - began < 20
+
+
+def test_code_of():
+    js = "/** a */\nfunction f(a) {\n  return '}';\n}\nlater()"
+    assert docpairs.code_of(js, "function f(a)") == "function f(a) {\n  return '}';\n}"
+    py = "x = 1\nclass A:\n    def f(self):\n        if 1:\n\n            return 2\n    y = 1\n"
+    assert docpairs.code_of(py, "def f(self)") == "def f(self):\n        if 1:\n\n            return 2"
+    assert docpairs.code_of("f(a) { cut", "f(a)") is None and docpairs.code_of(None, "f(a)") is None
+
+
+def test_pairs_with_bodies(spark):
+    pairs = spark.createDataFrame([("a", "f(x)", "Says it."), ("b", "g(x)", "Says it."), (None, "h()", "Says it.")], "id string, signature string, description string")
+    chunks = spark.createDataFrame([("1", "a", "symbol", "f(x) { 1 }"), ("0", "a", "symbol_part", "no"), ("2", None, "symbol", "x"), ("3", "b", "symbol", None)], "id string, symbol_id string, chunk_type string, content string")
+    assert {(r["signature"], r["code"]) for r in docpairs.with_bodies(pairs, chunks).collect()} == {("f(x)", "f(x) { 1 }"), ("g(x)", None), ("h()", None)}
 
 
 def test_pairs_rows(spark):
