@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codelode.llm import mixing, neardup, packing, provenance, reading
@@ -91,6 +92,73 @@ def test_provenance(spark):
     assert provenance.label_files(files.limit(0), code, chunks).count() == 0
 
 
+def brute_beliefs(files):
+    """Label odds of every file by walking the trees: files are (id, dir, evidence)."""
+    dirs = {""}
+    for _, d, _ in files:
+        parts = d.split("/") if d else []
+        dirs |= {"/".join(parts[:n]) for n in range(1, len(parts) + 1)}
+    up_of = lambda d: d.rsplit("/", 1)[0] if "/" in d else ""
+    c = np.array(provenance.COMPATIBILITY)
+    up = lambda logs: np.log(c @ np.exp(logs - logs.max()))
+    own = {}
+    for d in dirs:
+        name = d.rsplit("/", 1)[-1].lower()
+        row = (1e-4, 1e-3, 1e-3, 1.0, 1e-3) if name in provenance.VENDOR_DIRS else (1e-4, 1.0, 0.01, 1e-3, 1e-3) if name in provenance.BUILD_DIRS else (1e-4, 1.0, 1e-3, 1e-3, 1e-3) if name in provenance.GENERATED_DIRS else None
+        own[d] = (np.zeros(5) if row is None else np.log(row), row is not None)
+    told, weight = {}, {}
+
+    def gather(d):
+        heard = [up(e) for _, at, e in files if at == d]
+        for child in sorted(dirs - {""}):
+            if up_of(child) == d:
+                gather(child)
+                if not own[child][1]:
+                    heard.append(told[child][1])
+        weight[d] = provenance.SIBLING * min(1.0, provenance.WITNESSES / len(heard)) if heard else 0.0
+        logs = own[d][0] + weight[d] * sum(heard, np.zeros(5))
+        told[d] = (logs, up(logs))
+
+    gather("")
+    down = lambda above, sent: np.log(c.T @ np.exp(above - sent - (above - sent).max()))
+    believed = {"": told[""][0] + np.log(provenance.ROOT_PRIOR)}
+    for d in sorted(dirs - {""}, key=lambda d: d.count("/")):
+        sent = np.zeros(5) if own[d][1] else told[d][1] * weight[up_of(d)]
+        believed[d] = told[d][0] + down(believed[up_of(d)], sent)
+    out = {}
+    for i, d, e in files:
+        b = np.exp((b := e + down(believed[d], up(e) * weight[d])) - b.max())
+        out[i] = 1.0 - b[0] / b.sum()
+    return out
+
+
+def test_propagation_is_exact(spark):
+    """The messages equal a walk over the tree, and they, not the files alone, name what lies in a vendor folder."""
+    r = random.Random(5)
+    paths = [f"{r.choice(['a', 'a/b', 'a/b/c', '', 'a/vendor/q', 'a/vendor/q/lib', 'gen/generated', 'w'])}/f{i}.{r.choice(['py', 'md', 'min.js', 'go', 'lock'])}" for i in range(60)]
+    files = spark.createDataFrame([(str(i), "r", p, r.choice([None, 500, 90_000]), r.choice([None, 20])) for i, p in enumerate(paths)], "id string, repository_id string, path string, size_bytes long, line_count int")
+    code = spark.createDataFrame([], "repository_id string, path string, symbol_count int")
+    chunks = spark.createDataFrame([], "repository_id string, file_path string, content string")
+    evidence = [(x["id"], x["dir"], np.array(x["e"])) for x in provenance.file_evidence(files, code, chunks).collect()]
+    want = brute_beliefs(evidence)
+    got = {x["id"]: x["doubt"] for x in provenance.label_files(files, code, chunks).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    alone = {x["id"]: x["label"] for x in provenance.label_files(files, code, chunks, propagate=False).collect()}
+    within = [str(i) for i, p in enumerate(paths) if "vendor" in p and p.endswith("md")]
+    assert within and all(alone[i] == "handwritten" and got[i] > 0.5 for i in within)
+
+
+def test_siblings_tell(spark):
+    """A plain file among nine copies with a licence mark is a copy too; among nine plain files it is not."""
+    plain = [("x", "r", "kept/lib/zed.js", 900, 40), ("y", "r", "own/lib/zed.js", 900, 40)]
+    rows = plain + [(f"{d}{i}", "r", f"{d}/lib/f{i}.js", 900, 40) for d in ("kept", "own") for i in range(9)]
+    files = spark.createDataFrame(rows, "id string, repository_id string, path string, size_bytes long, line_count int")
+    chunks = spark.createDataFrame([("r", f"kept/lib/f{i}.js", "/*! zed v1.2.3 | MIT license */\nx()\n") for i in range(9)], "repository_id string, file_path string, content string")
+    code = spark.createDataFrame([], "repository_id string, path string, symbol_count int")
+    got = {x["id"]: x["label"] for x in provenance.label_files(files, code, chunks).collect()}
+    assert got["x"] == "vendored" and got["y"] == "handwritten" and got["own3"] == "handwritten" and got["kept3"] == "vendored"
+
+
 # ---- 7: packing
 
 
