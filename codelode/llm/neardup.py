@@ -2,17 +2,21 @@
 
 A fragment-wise set similarity join in the global order of triples, from rare to frequent.
 
-1. Chunks with equal triple sets form classes, so copies are joined once.
+1. Texts become sets once; these are written out and every later step reads them. Chunks
+   with equal sets form classes, so copies are joined once.
 2. Triples that no other class holds can't be shared. Every class posts its triples; what
    comes back is how many are shared, and a class with more unshared triples than a partner
-   could lack is out. A small sketch of bucket counts tells beforehand which triples may be
-   very frequent: these count as shared without being posted, so a triple's group is never
-   more than a few of the sketch's buckets.
-3. For the classes left, document frequencies are exact. The prefixes in the global order
-   (the rarest n - ceil(t n) + 1 triples) meet; size and position filters leave candidates.
-4. The order is cut vertically into fragments at pivots of the frequency; overlaps of the
-   candidate pairs are counted fragment by fragment and summed per pair, which gives the
-   exact similarity.
+   could lack is out. A sketch of bucket counts tells beforehand which triples are so frequent
+   that a group of them would not fit well into a shuffle partition: these count as shared
+   without being posted.
+3. For the classes left, document frequencies are exact. The global order is cut vertically
+   into fragments at pivots, and every set into its segments. A set takes part in the
+   fragments that its prefix reaches (the rarest n - ceil(t n) + 1 triples, one of which any
+   two similar sets share). In each fragment the segments meet on their triples, so candidates
+   come out of the fragments with the overlap of each fragment counted, and the counts are
+   summed per pair. A triple of many classes is split by salt.
+4. A pair's fragments beyond the shorter prefix are counted only where the counts so far,
+   with all that the other segments could share, still reach the threshold.
 """
 
 from __future__ import annotations
@@ -26,15 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.terms import as_string, term_array
-from codelode.session import BROADCAST_BYTES, materialise
+from codelode.session import materialise, partitions
 
 #: Least similarity as a fraction, least number of distinct triples.
 SIMILAR, WHOLE, LEAST = 7, 10, 30
-#: Buckets of the sketch (2 ** SKETCH_BITS), times the mean from which a bucket is hot, fragments of the global order.
-SKETCH_BITS, HOT, FRAGMENTS = 16, 8, 8
+#: Fragments of the global order; times the mean from which a bucket of the sketch is hot.
+FRAGMENTS, HOT = 8, 8
+#: The sketch has 2 ** SKETCH_BITS buckets at least, and SPREAD of them for each shuffle partition, so that the
+#: triples below a hot bucket's are a part of a partition at any size of the data; 2 ** SKETCH_MOST bounds its memory.
+SKETCH_BITS, SPREAD, SKETCH_MOST = 16, 8, 22
 #: Share of the hash range whose triples are posted in step 2. Unposted triples count as
 #: shared, so any share keeps every link; a lower one shuffles less and prunes less.
-POSTED = 0.75
+POSTED = 0.5
+#: Classes of a triple that one task joins with the others; more are split by salt.
+SALT = 1024
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S30, _S27, _S31, _S45 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(45)
@@ -75,148 +84,193 @@ def _large(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sets, np.cumsum(n) - n, n, triple[keep]
 
 
-def _bucket(triple: np.ndarray) -> np.ndarray:
-    return (triple >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
 
+def _keys(triple: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set: two unlike sets share it once in 2 ** 64."""
+    if not len(head):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return _finish(np.add.reduceat(_finish(triple + _M2), head) * _M1 + np.add.reduceat(_finish(triple ^ _M3), head))
+
+
+def _setter(least: int):
+    """Rows (id, k, n, triples): the set of each text by name and size; triples is null for a set seen before in the task."""
 
-def _sketcher(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen: set[int] = set()
         for batch in batches:
-            triple = _large(as_string(batch.column(0)), least)[3]
-            count += np.bincount(_bucket(triple), minlength=1 << SKETCH_BITS)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["bucket", "n"])
+            sets, head, n, triple = _large(as_string(batch.column(1)), least)
+            keys = _keys(triple, head)
+            fresh = np.zeros(len(keys), bool)
+            for i, k in enumerate(keys.tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh[i] = True
+            offsets = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(triple[np.repeat(fresh, n)]), mask=pa.array(~fresh))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sets)).cast(pa.string()), _signed(keys), pa.array(n.astype(np.int32)), lists], ["id", "k", "n", "triples"])
 
     return run
 
 
-def hot_buckets(texts: DataFrame, least: int = LEAST) -> np.ndarray:
-    """Which buckets of the sketch hold HOT times the mean, over the triples of all texts."""
-    rows = texts.mapInArrow(_sketcher(least), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros(1 << SKETCH_BITS, np.int64)
-    count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return count > max(HOT * count.mean(), HOT)
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all triples one after another, how many each row has)."""
+    size = np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), size
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _bucket(triple: np.ndarray, bits: int) -> np.ndarray:
+    return (triple >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(values))
+def _sketcher(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            count += np.bincount(_bucket(_listed(batch.column(0))[0], bits), minlength=1 << bits)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["bucket", "n"])
 
+    return run
 
-def _keys(triple: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set: two unlike sets share it once in 2 ** 64."""
-    if not len(head):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        return _finish(np.add.reduceat(_finish(triple + _M2), head) * _M1 + np.add.reduceat(_finish(triple ^ _M3), head))
 
+def sketch_bits(partitions: int) -> int:
+    """Bits of a bucket's number, from the session's shuffle partitions."""
+    return min(max(SKETCH_BITS, (SPREAD * max(partitions, 1) - 1).bit_length()), SKETCH_MOST)
 
-def _posted(triple: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    return ~hot[_bucket(triple)] & (_finish(triple) < np.uint64(int(POSTED * 2**64)))
 
+def hot_buckets(sets: DataFrame, bits: int) -> np.ndarray:
+    """The buckets of the sketch that hold more than HOT times the mean, over all triples; HOT-th parts of all at most."""
+    counts = materialise(sets.select("triples").mapInArrow(_sketcher(bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "p5-sketch")
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    return np.array([r[0] for r in counts.filter(F.col("n") > max(HOT * whole / (1 << bits), HOT)).select("bucket").collect()], np.int64)
 
-def _header(hot: np.ndarray, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, head, n, triple = _large(as_string(batch.column(1)), least)
-            posted = np.add.reduceat(_posted(triple, hot).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(sets)).cast(pa.string()), _signed(_keys(triple, head)), pa.array(n.astype(np.int32)), pa.array(posted.astype(np.int32))], ["id", "k", "n", "posted"]
-            )
 
-    return run
+def _posted(triple: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    return ~np.isin(_bucket(triple, bits), hot) & (_finish(triple) < np.uint64(int(POSTED * 2**64)))
 
 
-def _poster(hot: np.ndarray, least: int):
-    """Rows (triple, k) of the triples to be posted; a set seen before in the task is left out."""
+def _header(hot: np.ndarray, bits: int):
+    """Rows (id, k, n, posted): posted is how many triples a set posts, null for a copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            _, head, n, triple = _large(as_string(batch.column(0)), least)
-            keys = _keys(triple, head)
-            fresh = np.zeros(len(keys), bool)
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen:
-                    seen.add(k)
-                    fresh[i] = True
-            take = np.repeat(fresh, n) & _posted(triple, hot)
-            yield pa.RecordBatch.from_arrays([_signed(triple[take]), _signed(np.repeat(keys, n)[take])], ["triple", "k"])
+            triple, size = _listed(batch.column(3))
+            upto = np.concatenate([[0], np.cumsum(_posted(triple, hot, bits))])
+            ends = np.cumsum(size)
+            posted = pa.array((upto[ends] - upto[ends - size]).astype(np.int32), mask=batch.column(3).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], posted], ["id", "k", "n", "posted"])
 
     return run
 
 
-def _lister(least: int):
-    """Rows (k, triples): the whole sets."""
+def _poster(hot: np.ndarray, bits: int):
+    """Rows (triple, k) of the triples to be posted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, head, n, triple = _large(as_string(batch.column(0)), least)
-            yield pa.RecordBatch.from_arrays([_signed(_keys(triple, head)), _lists(triple, n)], ["k", "triples"])
+            triple, size = _listed(batch.column(1))
+            take = _posted(triple, hot, bits)
+            yield pa.RecordBatch.from_arrays([_signed(triple[take]), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)[take])], ["triple", "k"])
 
     return run
 
 
+def _needed(n: str) -> F.Column:
+    """How many triples a set of n must share with any similar one."""
+    return F.ceil(SIMILAR * F.col(n) / WHOLE)
+
+
+def _segmented(rows: DataFrame) -> DataFrame:
+    """(k, n, head, reach, segments) of each set given as rows (k, n, triple, df): its triples in the global order, by fragment.
+
+    head: triples that no other set holds, which come first in the order; reach: the last
+    fragment that the prefix touches; sets whose prefix holds such triples only have no row.
+    """
+    place = F.col("df") + (F.col("triple") / F.lit(2.0**64) + 0.5)
+    placed = rows.withColumn("place", place)
+    cuts = placed.agg(F.percentile_approx("place", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0] or []
+    fragment = F.lit(0)
+    for cut in sorted(set(cuts)):
+        fragment = fragment + (F.col("place") > cut).cast("int")
+    items = F.array_sort(F.collect_list(F.struct("place", "triple", fragment.alias("fragment"))))
+    whole = placed.groupBy("k").agg(F.first("n").alias("n"), items.alias("items")).withColumn("head", F.col("n") - F.size("items"))
+    within = (F.col("n") - _needed("n") + 1 - F.col("head")).cast("int")  # items that belong to the prefix
+    reached = whole.filter(within > 0).withColumn("reach", F.element_at("items", F.least(within, F.size("items")))["fragment"])
+    segments = F.transform(F.sequence(F.lit(0), F.lit(len(set(cuts)))), lambda f: F.transform(F.filter("items", lambda x: x["fragment"] == f), lambda x: x["triple"]))
+    return reached.select("k", "n", "head", "reach", segments.alias("segments"))
+
+
+def fragment_candidates(sets: DataFrame) -> DataFrame:
+    """(x, y, reach, shared) of pairs that share a triple in the fragments both take part in, from what _segmented gives.
+
+    shared: the overlap of the fragments up to reach, the lesser of both reaches, summed. Pairs whose
+    sizes, or whose first shared triple's place, rule similarity out are left away.
+    """
+    sent = F.slice("segments", F.lit(1), F.col("reach") + 1)
+    before = F.col("head") + F.aggregate(F.slice("segments", F.lit(1), F.col("fragment")), F.lit(0), lambda a, x: a + F.size(x))
+    posted = sets.select("k", "n", "head", "reach", "segments", F.posexplode(sent).alias("fragment", "segment"))
+    posted = posted.select("k", "n", "reach", "fragment", before.alias("before"), F.posexplode("segment").alias("at", "triple")).select("k", "n", "reach", "fragment", "triple", (F.col("before") + F.col("at") + 1).alias("at"))
+    posted = materialise(posted, "p5-fragments")
+    held = posted.groupBy("fragment", "triple").agg(F.count("*").alias("held")).filter("held > 1")
+    salts = F.ceil(F.col("held") / SALT).cast("int")
+    split = posted.join(held, ["fragment", "triple"]).withColumn("salts", salts)
+    a = split.select("fragment", "triple", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"), F.col("k").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("at").alias("ax"))
+    b = split.select("fragment", "triple", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("at").alias("ay"))
+    met = a.join(b.hint("merge"), ["fragment", "triple", "salt"]).filter((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))).filter(WHOLE * F.col("nx") >= SIMILAR * F.col("ny"))
+    partial = met.groupBy("x", "nx", "y", "ny", F.least("rx", "ry").alias("reach"), "fragment").agg(F.count("*").alias("shared"), F.min("ax").alias("ax"), F.min("ay").alias("ay"))
+    summed = partial.groupBy("x", "nx", "y", "ny", "reach").agg(F.sum("shared").alias("shared"), F.min("ax").alias("ax"), F.min("ay").alias("ay"))
+    need = F.ceil(SIMILAR * (F.col("nx") + F.col("ny")) / (SIMILAR + WHOLE))
+    return summed.filter(F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1 >= need).select("x", "y", "reach", "shared")
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """(x, nx, y, ny, shared) of all similar pairs, shared being the whole overlap, from what _segmented gives."""
+    candidates = materialise(fragment_candidates(sets), "p5-candidates")
+    side = lambda k, s, n: sets.select(F.col("k").alias(k), F.col("segments").alias(s), F.col("n").alias(n)).hint("merge")
+    met = candidates.join(side("x", "left", "nx"), "x").join(side("y", "right", "ny"), "y")
+    need = F.ceil(SIMILAR * (F.col("nx") + F.col("ny")) / (SIMILAR + WHOLE))
+    rest = lambda c: F.slice(c, F.col("reach") + 2, F.size(c))
+    open_ = met.select("x", "nx", "y", "ny", "shared", need.alias("need"), F.arrays_zip(rest("left").alias("l"), rest("right").alias("r")).alias("rest"))
+    most = F.aggregate("rest", F.lit(0), lambda a, s: a + F.least(F.size(s["l"]), F.size(s["r"])))
+    alive = open_.filter(F.col("shared") + most >= F.col("need"))
+    more = F.aggregate("rest", F.lit(0), lambda a, s: a + F.size(F.array_intersect(s["l"], s["r"])))
+    total = alive.select("x", "nx", "y", "ny", (F.col("shared") + more).alias("shared"))
+    return total.filter(WHOLE * F.col("shared") >= SIMILAR * (F.col("nx") + F.col("ny") - F.col("shared")))
+
+
 def classes_and_links(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(id, class) with the class's least id, links(a, b, shared, n_a, n_b) between classes, a < b.
 
     Rows without an id or content take no part; a chunk counts once however often delivered.
     """
     texts = chunks.select(F.col("id").cast("string").alias("id"), F.col("content").alias("content")).filter(F.col("id").isNotNull() & F.col("content").isNotNull())
-    hot = hot_buckets(texts.select("content"), least)
-    heads = materialise(texts.mapInArrow(_header(hot, least), "id string, k long, n int, posted int"), "p5-heads")
-    classes = heads.groupBy("k").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("posted").alias("posted"))
-    members = heads.join(classes.select("k", "class"), "k").select("id", "class").distinct()
+    bits = sketch_bits(partitions(chunks.sparkSession))
+    sets = materialise(texts.mapInArrow(_setter(least), "id string, k long, n int, triples array<long>"), "p5-sets")
+    first = sets.filter("triples is not null").select("k", "n", "triples")
+    hot = hot_buckets(first, bits)
+    heads = materialise(sets.mapInArrow(_header(hot, bits), "id string, k long, n int, posted int"), "p5-heads")
+    classes = heads.groupBy("k").agg(F.min("id").alias("class"), F.max("n").alias("n"), F.max("posted").alias("posted"), F.count("posted").alias("times"))
+    members = heads.join(classes.select("k", "class").hint("merge"), "k").select("id", "class").distinct()
 
     by_triple = Window.partitionBy("triple")
-    posts = texts.select("content").mapInArrow(_poster(hot, least), "triple long, k long")
+    posts = first.select("k", "triples").mapInArrow(_poster(hot, bits), "triple long, k long")
     common = posts.withColumns({"low": F.min("k").over(by_triple), "high": F.max("k").over(by_triple)}).filter("low <> high")
-    # the copies of a set in several tasks count once: they post the same triples
+    # a set that several tasks came upon is posted by each of them
     shared = common.groupBy("k").agg(F.count("*").alias("shared"))
-    lacking = F.col("posted") - F.coalesce("shared", F.lit(0))
-    left = materialise(classes.join(shared, "k", "left").filter(lacking <= F.col("n") - F.ceil(SIMILAR * F.col("n") / WHOLE)).select("k", "class", "n"), "p5-left")
-
-    wanted = left.select(F.col("class").alias("id"))
-    if left.count() * 64 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "id", "left_semi").select("content").mapInArrow(_lister(least), "k long, triples array<long>")
-    rows = sets.select("k", F.explode("triples").alias("triple"))
-    rows = materialise(rows, "p5-sets")
-    frequency = rows.groupBy("triple").agg(F.count("*").alias("df")).filter("df > 1")
-    # a chunk delivered twice gives its triples twice, which changes the order but no result
-    ordered = materialise(rows.join(frequency, "triple").groupBy("k", "triple").agg(F.max("df").alias("df")), "p5-ordered")
-
-    # triples of one class only come first in the order, so a place in the prefix is counted from them
-    sized = left.select("k", "n")
-    place = F.col("n") - F.count("*").over(Window.partitionBy("k")) + F.row_number().over(Window.partitionBy("k").orderBy("df", "triple"))
-    prefix = ordered.join(sized, "k").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") / WHOLE) + 1)
-    prefix = materialise(prefix.select("triple", "k", "n", F.col("at").cast("int").alias("at")), "p5-prefix")
-    a = prefix.select("triple", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    b = prefix.select("triple", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    need = F.ceil(SIMILAR * (F.col("nx") + F.col("ny")) / (SIMILAR + WHOLE))
-    meet = (
-        a.join(b, "triple")
-        .filter((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
-        .filter((WHOLE * F.col("nx") >= SIMILAR * F.col("ny")) & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1 >= need))
-    )
-    candidates = materialise(meet.select("x", "nx", "y", "ny").distinct(), "p5-candidates")
+    lacking = F.col("posted") - F.coalesce("shared", F.lit(0)) / F.col("times")
+    left = materialise(classes.join(shared.hint("merge"), "k", "left").filter(lacking <= F.col("n") - _needed("n")).select("k", "class", "n"), "p5-left")
 
-    cuts = ordered.agg(F.percentile_approx("df", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0] or []
-    fragment = F.lit(0)
-    for cut in sorted(set(cuts)):
-        fragment = fragment + (F.col("df") > cut).cast("int")
-    segments = ordered.groupBy("k", fragment.alias("fragment")).agg(F.collect_list("triple").alias("triples"))
-    spread = candidates.select("x", "nx", "y", "ny", F.explode(F.sequence(F.lit(0), F.lit(len(set(cuts))))).alias("fragment"))
-    first = segments.select(F.col("k").alias("x"), "fragment", F.col("triples").alias("left"))
-    second = segments.select(F.col("k").alias("y"), "fragment", F.col("triples").alias("right"))
-    partial = spread.join(first, ["x", "fragment"]).join(second, ["y", "fragment"]).select("x", "nx", "y", "ny", F.size(F.array_intersect("left", "right")).alias("shared"))
-    total = partial.groupBy("x", "nx", "y", "ny").agg(F.sum("shared").alias("shared"))
-    good = total.filter(WHOLE * F.col("shared") >= SIMILAR * (F.col("nx") + F.col("ny") - F.col("shared")))
-    named = good.join(left.select(F.col("k").alias("x"), F.col("class").alias("p")), "x").join(left.select(F.col("k").alias("y"), F.col("class").alias("q")), "y")
+    rows = first.join(left.select("k").hint("merge"), "k", "left_semi").dropDuplicates(["k"]).select("k", "n", F.explode("triples").alias("triple"))
+    rows = materialise(rows, "p5-rows")
+    frequency = rows.groupBy("triple").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = materialise(rows.join(frequency.hint("merge"), "triple"), "p5-ordered")
+    good = similar_sets(materialise(_segmented(ordered), "p5-segments"))
+    name = lambda k, c: left.select(F.col("k").alias(k), F.col("class").alias(c)).hint("merge")
+    named = good.join(name("x", "p"), "x").join(name("y", "q"), "y")
     links = named.select(
         F.least("p", "q").alias("a"),
         F.greatest("p", "q").alias("b"),
@@ -257,6 +311,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components of a graph so deep need more than {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
