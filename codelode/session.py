@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,39 +41,82 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Where that setting is absent (local tests) a folder of this machine is made
-    and set, since there the machine is the whole cluster.
+    Where that setting is absent and the master is local (tests), the machine is the whole
+    cluster, and a folder of it is made and set. Elsewhere its absence is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    have = sc._jsc.sc().getCheckpointDir()
     if path:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if have.isEmpty():
             sc.setCheckpointDir(path)
         return path
-    have = sc._jsc.sc().getCheckpointDir()
     if not have.isEmpty():
         return have.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="codelode-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_WRITTEN: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def _remove_all() -> None:
+    """What the process wrote goes when it ends, if its session still runs then."""
+    try:
+        spark = SparkSession.getActiveSession()
+        for path in list(_WRITTEN) if spark is not None else ():
+            _remove(spark, path)
+    except Exception:  # noqa: BLE001 - the gateway may be gone already
+        pass
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet into the shared folder and read back.
 
     Cheaper than checkpoint() for wide rows (columnar, compressed) and it survives
-    the loss of any executor.
+    the loss of any executor. The table stays until it is discarded or the process ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads, nor any DataFrame that is handed out."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started from. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codelode_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="codelode-"), "codelode.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("codelode", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._codelode_shipped = True
 
 
 def estimated_bytes(df: DataFrame) -> int:

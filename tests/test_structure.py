@@ -2,6 +2,7 @@ import json
 import os
 
 from codelode.operators import catalog, chunking, python_analysis, resolution
+from codelode.session import discard, materialise, shared_dir
 from codelode.sources import corpus
 from codelode.streaming.reindex import reindexing
 
@@ -190,3 +191,11 @@ def test_python_many_faulty_blocks_and_symbols():
     assert python_analysis.analyze(faulty)["symbols"] == []
     many = "".join(f"def f{n}(): pass\n" for n in range(5001))
     assert len(python_analysis.analyze(many)["symbols"]) == 5001 and len(python_analysis.analyze(many, 10)["symbols"]) == 10
+
+
+def test_written_tables_lie_in_the_shared_folder_until_discarded(spark):
+    df = materialise(spark.range(3), "t")
+    path = df._written_at
+    assert df.count() == 3 and path.startswith(shared_dir(spark)) and os.path.exists(path.removeprefix("file:"))
+    discard(df)
+    assert not os.path.exists(path.removeprefix("file:"))
