@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.terms import as_string, term_array
-from codelode.session import materialise, partitions
+from codelode.session import discard, materialise, partitions
 
 #: Least similarity as a fraction, least number of distinct triples.
 SIMILAR, WHOLE, LEAST = 7, 10, 30
@@ -268,7 +268,10 @@ def classes_and_links(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     rows = materialise(rows, "p5-rows")
     frequency = rows.groupBy("triple").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = materialise(rows.join(frequency.hint("merge"), "triple"), "p5-ordered")
-    good = similar_sets(materialise(_segmented(ordered), "p5-segments"))
+    discard(sets, rows)
+    segments = materialise(_segmented(ordered), "p5-segments")
+    discard(ordered)
+    good = similar_sets(segments)
     name = lambda k, c: left.select(F.col("k").alias(k), F.col("class").alias(c)).hint("merge")
     named = good.join(name("x", "p"), "x").join(name("y", "q"), "y")
     links = named.select(
@@ -306,7 +309,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before_now, now = now, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(before_now)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

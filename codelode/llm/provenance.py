@@ -80,11 +80,6 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(p, r"(?:^|(?<=/))(?:\./)+", ""), r"^/+", "")
 
 
-def _without(text: Column, signs: str) -> Column:
-    """How long a text is without some characters."""
-    return F.length(F.translate(text, signs, ""))
-
-
 def chunk_evidence(chunks: DataFrame) -> DataFrame:
     """(repository_id, path, marked, foreign, data, letters, wide): what the chunks of each file show.
 
@@ -94,14 +89,14 @@ def chunk_evidence(chunks: DataFrame) -> DataFrame:
     head = F.substring_index(text, "\n", HEAD_LINES)
     low = F.lower(head)
     some = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-    lines = 1 + F.length(text) - _without(text, "\n")
+    lines = 1 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     rows = chunks.select(
         "repository_id",
         normal_path(F.col("file_path")).alias("path"),
         (some(GENERATED_WORDS) & head.rlike(GENERATED_MARK)).alias("marked"),
         (some(VENDORED_WORDS) & head.rlike(VENDORED_MARK)).alias("foreign"),
-        _without(text, " \t\n\r\f\x0b").cast("long").alias("letters"),
-        (F.length(text) - _without(text, "0123456789,")).cast("long").alias("digits"),
+        F.length(F.regexp_replace(text, r"\s+", "")).cast("long").alias("letters"),
+        F.length(F.regexp_replace(text, r"[^0-9,]+", "")).cast("long").alias("digits"),
         F.when(F.length(text) > 0, F.length(text) / lines).alias("wide"),
     )
     return rows.groupBy("repository_id", "path").agg(

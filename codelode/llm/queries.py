@@ -82,6 +82,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p7_containers(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_checks(p7_containers(spark, d))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
@@ -106,7 +110,7 @@ def queries() -> dict[str, Query]:
     """The queries by name; of each problem the one to be checked comes first."""
     every = (
         p1_found, p1_terms, p1_ngrams, p2_found, p2_pieces, p3_found, p3_pairs, p3_source_pairs, p4_found, p4_redacted, p5_found, p5_groups,
-        p6_found, p6_labels, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_levels,
+        p6_found, p6_labels, p7_containers, p7_fill, p7_checks, p8_mixture, p8_shares, p9_found, p9_levels,
     )
     return {f.__name__: f for f in every}
 
@@ -127,6 +131,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _TERMS + "SELECT field_name, term, mark FROM t WHERE mark IS NOT NULL",
         "p1_terms": _TERMS + "SELECT field_name, term, occurrences, records, mark FROM t",
+        "p7_checks": """
+            SELECT spec_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '')::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS torn, 0::BIGINT AS lost FROM pack_specs""",
         "p2_found": """
             WITH c AS (SELECT DISTINCT ON (id) id, content, length(content) - length(replace(content, chr(10), '')) AS ends,
                               (length(content) - length(replace(content, chr(13) || chr(10), ''))) // 2 AS pairs FROM code_chunks),

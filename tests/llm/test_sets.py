@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from codelode.llm import mixing, neardup, packing, provenance, reading
-from codelode.session import cut
 
 TERM = re.compile(r"[A-Za-z0-9_]+")
 
@@ -162,24 +161,49 @@ def test_siblings_tell(spark):
 # ---- 7: packing
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_plan_is_best_fit_decreasing(seed):
+def brute_rounds(sizes, capacity):
+    """(containers, gaps) of the rounds done in one sequence: the piece on hand takes the gap on top."""
+    pieces, gaps = sorted(sizes, reverse=True), {}
+    while pieces:
+        widest = max(gaps.values(), default=0)
+        n = max(-(-(sum(pieces) - sum(gaps.values())) // capacity), -(-sum(p for p in pieces if p > widest) // capacity), 0)
+        for _ in range(n):
+            gaps[len(gaps)] = capacity
+        rows = sorted([(-w, 0, c) for c, w in gaps.items() if w] + [(-p, 1, k) for k, p in enumerate(pieces)])
+        stack, missed = [], []
+        for size, kind, which in rows:
+            if kind == 0:
+                stack.append([which, max(-size // pieces[0], 1)])
+            elif stack:
+                gaps[stack[-1][0]] += size
+                stack[-1][1] -= 1
+                if not stack[-1][1]:
+                    stack.pop()
+            else:
+                missed.append(-size)
+        pieces = missed
+    return len(gaps), sorted(gaps.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_equal_one_sequence(spark, seed):
+    """However the rows lie in partitions, the containers are those of the rounds done in sequence."""
     rng = random.Random(seed)
-    sizes = [rng.randrange(1, 101) for _ in range(400)]
-    plan, n = packing.plan_best_fit(100, Counter(sizes))
-    used = Counter()
-    for size, _, each, containers, first in plan:
-        for c in range(first, first + containers):
-            used[c] += size * each
-    gaps: list[int] = []
-    for s in sorted(sizes, reverse=True):
-        fit = [g for g in gaps if g >= s]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - s)
-        else:
-            gaps.append(100 - s)
-    assert n == len(gaps) == len(used) and max(used.values()) <= 100 and sum(used.values()) == sum(sizes)
+    sizes = [rng.choice([rng.randrange(1, 101), rng.randrange(1, 12), 7]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long").repartition(7)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many partitions as can be
+    got = packing.pack_sizes(df, [(1, 100)]).toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    used = got.groupby("container").tokens.sum()
+    n, gaps = brute_rounds(sizes, 100)
+    assert len(got) == 400 and used.max() <= 100 and sorted(used.index) == list(range(n))
+    assert sorted((100 - used).tolist()) == gaps
+
+
+def test_meeting_by_rank():
+    """Pieces left over meet the gaps of partitions before them, the nearest and last first."""
+    assert packing.meet_by_rank([(1, 0, 0, 2), (1, 1, 1, 3), (1, 2, 6, 0), (2, 0, 1, 1), (2, 1, 2, 0)]) == [(1, 1, 0, 0, 1, 1), (1, 2, 0, 1, 2, 3), (1, 2, 3, 0, 0, 1), (2, 1, 0, 0, 0, 1)]
 
 
 def test_packed_rows(spark):
@@ -191,7 +215,7 @@ def test_packed_rows(spark):
         mine = got[got.spec_id == spec]
         assert mine.groupby("container").tokens.sum().max() <= capacity
         assert mine.groupby("doc_id").tokens.sum().to_dict() == {d: t for d, t in rows if t and d is not None}
-        assert mine.container.nunique() == mine.container.max() + 1 <= 1.02 * mine.tokens.sum() / capacity + 1
+        assert mine.container.nunique() == mine.container.max() + 1 <= 1.03 * mine.tokens.sum() / capacity + 1
         assert ((mine.parts > 1) == (mine.doc_id.map(dict(rows)) > capacity)).all()
     assert packing.pack_sizes(df.limit(0), [(1, 256)]).count() == 0
 
@@ -270,7 +294,3 @@ def test_levels_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, HARD)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, grade int")
     assert reading.reading_levels(docs, labels).count() == 1 and reading.reading_levels(docs.limit(0), labels).count() == 0
-
-
-def test_checkpoint_goes_to_the_shared_folder(spark):
-    assert cut(spark.range(3)).count() == 3
