@@ -4,27 +4,30 @@ The total is the largest at which every source reaches its share within its cap;
 source's records then have the same expected number of copies. The fractions are rounded
 by pivotal dependent rounding: two fractional records exchange token mass, at random but
 without changing either's expectation, until one of them is integral, so a source's tokens
-stay what they were. The largest records of each source (LARGEST of them) are rounded first and
-exchange their mass with all others at once, through the others' expected copies, since
-one of them may weigh more than many. Each task then rounds its own records from large to small and leaves the last,
-smallest ones and the residual fractional; these meet in a reduction tree of fixed fan-in,
-and at its root all are settled but one small record for each source, which a last draw
-settles. A source misses its share by less than that record.
+stay what they were. Records meet from large to small, so partners are alike; a record more
+than LONELY times as large as the next exchanges with all smaller ones of its node at once.
+Each task rounds its own records so and leaves the smallest ones and the residual fractional;
+these meet in a reduction tree of fixed fan-in, and at its root all are settled but one for
+each source, which a last draw settles there. A source misses its share by less than that
+record. Nothing but one row a source, the stock, comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.tokens import VOCABULARY, token_sizes
 from codelode.session import materialise
 
-FAN_IN, RESERVE, LARGEST, SEED = 32, 64, 64, 20240501
+FAN_IN, LONELY, SEED = 32, 2, 20240501
+#: A node hands on its smallest records: as many as weigh RESERVE times the source's largest one, at most RESERVE_ROWS.
+RESERVE, RESERVE_ROWS = 4, 2048
 _ROW = "doc_id long, source string, tokens long, copies int, fraction double, node long"
 _NEAR = 1e-9
 
@@ -34,33 +37,56 @@ def _draw(*key) -> float:
     return xxhash.xxh3_64_intdigest("|".join(map(str, key))) / 2.0**64
 
 
-def pivot(records: Iterator[tuple[int, int, int, float]], seed: int) -> tuple[list[tuple[int, int, int]], tuple[int, int, int, float] | None]:
-    """Round (doc_id, tokens, whole copies, fraction) records of one source.
+def _exchange(rows: np.ndarray, a: int, partners: slice, seed: int, names: tuple) -> None:
+    """Move mass between record a and its partners until a or one of them is integral; rows: (tokens, fraction).
 
-    Returns the settled (doc_id, tokens, copies) and the one record still fractional, if any.
+    Partners' fractions move alike. The two ways have odds that keep every expectation.
     """
-    settled, open_ = [], None
-    for doc, tokens, whole, p in records:
-        if p < _NEAR or p > 1 - _NEAR or tokens == 0:
-            settled.append((doc, tokens, whole + (p > 0.5)))
-            continue
-        if open_ is None:
-            open_ = (doc, tokens, whole, p)
+    tokens, p = rows[:, 0], rows[:, 1]
+    open_ = (p[partners] > _NEAR) & (p[partners] < 1 - _NEAR)
+    mass = float((tokens[partners] * open_).sum())
+    if not mass:
+        return
+    others = p[partners][open_]
+    up = min((1 - p[a]) * tokens[a], others.min() * mass)  # the most that a can gain
+    down = min(p[a] * tokens[a], (1 - others.max()) * mass)  # and lose
+    move = up if _draw(seed, *names) * (up + down) < down else -down
+    p[a] += move / tokens[a]
+    p[partners] -= np.where(open_, move / mass, 0.0)
+
+
+def pivot(records: list[tuple[int, int, int, float]], keep: int, seed: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
+    """Round (doc_id, tokens, whole copies, fraction) records of one source, but for the last `keep`, given from large to small.
+
+    Returns the settled (doc_id, tokens, copies) and the records still fractional: of those to be
+    rounded one at most. The sum of tokens times copies and fractions stays.
+    """
+    rows = np.array([(t, f) for _, t, _, f in records], np.float64).reshape(-1, 2)
+    fraction = rows[:, 1]
+    cut, now = len(records) - keep, None
+    for k in range(cut):
+        # a lonely record exchanges until it is integral, or everything smaller is
+        while now is not None and _fractional(fraction[now]) and rows[now, 0] > LONELY * rows[k, 0] and _fractional(fraction[k:]).any():
+            _exchange(rows, now, slice(k, None), seed, ("all", records[now][0], float(fraction[now])))
+        if now is None or not _fractional(fraction[now]):
+            now = k if _fractional(fraction[k]) else None
             continue
-        a_doc, a_tokens, a_whole, a = open_
-        # mass moved to the open record, or from it, until one of the two is 0 or 1
-        up = min((1 - a) * a_tokens, p * tokens)
-        down = min(a * a_tokens, (1 - p) * tokens)
-        move = up if _draw(seed, a_doc, doc) * (up + down) < down else -down
-        a, p = a + move / a_tokens, p - move / tokens
-        rest = []
-        for d, t, w, x in ((a_doc, a_tokens, a_whole, a), (doc, tokens, whole, p)):
-            if x < _NEAR or x > 1 - _NEAR:
-                settled.append((d, t, w + (x > 0.5)))
-            else:
-                rest.append((d, t, w, x))
-        open_ = rest[0] if rest else None
-    return settled, open_
+        if _fractional(fraction[k]):
+            _exchange(rows, now, slice(k, k + 1), seed, (records[now][0], records[k][0]))
+            now = now if _fractional(fraction[now]) else k if _fractional(fraction[k]) else None
+    while keep and now is not None and _fractional(fraction[now]) and _fractional(fraction[cut:]).any() and rows[now, 0] > LONELY * rows[cut, 0]:
+        _exchange(rows, now, slice(cut, None), seed, ("all", records[now][0], float(fraction[now])))
+    settled, left = [], []
+    for (doc, tokens, whole, _), p in zip(records, fraction.tolist()):
+        if _fractional(p) and tokens:
+            left.append((doc, tokens, whole, p))
+        else:
+            settled.append((doc, tokens, whole + (p > 0.5)))
+    return settled, left
+
+
+def _fractional(p):
+    return (p > _NEAR) & (p < 1 - _NEAR)
 
 
 _COLUMNS = ["doc_id", "source", "tokens", "copies", "fraction", "node"]
@@ -70,15 +96,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS).astype({"fraction": "float64", "node": "Int64"})
 
 
-def _settle(records: list[tuple[int, int, int, float]], seed: int, reserve: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
-    """Round all but the `reserve` smallest records; what is still fractional comes back."""
+def _settle(records: list[tuple[int, int, int, float]], seed: int, largest: int | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
+    """Round all but the smallest records; what is still fractional comes back. largest None: round all, the last by a draw."""
     records = sorted(records, key=lambda r: (-r[1], r[0]))
-    cut = max(len(records) - reserve, 0)
-    settled, open_ = pivot(records[:cut], seed)
-    return settled, ([open_] if open_ else []) + records[cut:]
+    if largest is None:
+        settled, left = pivot(records, 0, seed)
+        return settled + [(d, t, w + int(_draw(seed, "last", d) < p)) for d, t, w, p in left], []
+    weight = np.cumsum([t for _, t, _, _ in reversed(records)])
+    return pivot(records, min(int(np.searchsorted(weight, RESERVE * largest, side="right")), RESERVE_ROWS), seed)
 
 
-def _round_task(expected: dict[str, float], seed: int):
+def _round_task(expected: dict[str, float], largest: dict[str, int], seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: dict[str, list[tuple[int, int, int, float]]] = {}
         node = 0
@@ -88,7 +116,7 @@ def _round_task(expected: dict[str, float], seed: int):
                 c = expected[source]
                 whole, p = int(c + _NEAR), max(c - int(c + _NEAR), 0.0)
                 records = [(d, t, whole, p) for d, t in zip(group["doc_id"].tolist(), group["tokens"].tolist())]
-                settled, left[source] = _settle(left.get(source, []) + records, seed, RESERVE)
+                settled, left[source] = _settle(left.get(source, []) + records, seed, largest[source])
                 rows += [(d, source, t, w, None, None) for d, t, w in settled]
                 node = int(group["place"].iloc[0]) >> 33  # the task's own number
             yield _frame(rows)
@@ -97,11 +125,11 @@ def _round_task(expected: dict[str, float], seed: int):
     return run
 
 
-def _round_group(seed: int, reserve: int):
+def _round_group(largest: dict[str, int] | None, seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         records = list(zip(group["doc_id"].tolist(), group["tokens"].tolist(), group["copies"].tolist(), group["fraction"].tolist()))
-        settled, left = _settle(records, seed, reserve)
         source, node = group["source"].iloc[0], int(group["parent"].iloc[0])
+        settled, left = _settle(records, seed, largest and largest[source])
         return _frame([(d, source, t, w, None, None) for d, t, w in settled] + [(d, source, t, w, p, node) for d, t, w, p in left])
 
     return run
@@ -121,25 +149,6 @@ def plan_mixture(available: dict[str, int], targets: list[tuple[str, float, int]
     return total, {s: min(total * w / whole / available[s], float(m)) for s, w, m in live}
 
 
-def _round_largest(rows: list[tuple[str, int, int]], expected: dict[str, float], available: dict[str, int], caps: dict[str, int], seed: int) -> tuple[list[tuple[int, str, int, int]], dict[str, float]]:
-    """((doc_id, source, tokens, copies) of the largest records, expected copies of the others).
-
-    rows: (source, doc_id, tokens). What the largest take too much or too little the others
-    give or get, so a source's expected tokens stay.
-    """
-    out, rest = [], dict(expected)
-    for source, c in expected.items():
-        others, due = available[source], c * available[source]
-        for d, t in sorted(((d, t) for s, d, t in rows if s == source), key=lambda r: (-r[1], r[0])):
-            copies = int(c + _NEAR)
-            copies += _draw(seed, "large", d) < max(c - copies, 0.0)
-            out.append((d, source, t, copies))
-            others, due = others - t, due - copies * t
-            c = min(max(due / others, 0.0), float(caps[source])) if others > 0 else 0.0
-        rest[source] = c
-    return out, rest
-
-
 def _targets(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
     """Targets by normal source; a source named twice counts with both shares and the lower cap."""
     rows = mix_targets.filter("source is not null").groupBy(_normal("source").alias("source")).agg(F.sum("target_share").alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("m"))
@@ -172,30 +181,28 @@ def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: st
     if not targets:
         return empty, spark.createDataFrame([], "source string, records long, available_tokens long"), targets
     sized = _sized(documents, [s for s, _, _ in targets], vocabulary)
-    stock = sized.groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("available_tokens"))
-    have = {r["source"]: int(r["available_tokens"] or 0) for r in stock.collect()}  # one row for each target at most
-    _, expected = plan_mixture(have, targets)
+    stock = sized.groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("available_tokens"), F.max("tokens").alias("largest"))
+    have = {r["source"]: r for r in stock.collect()}  # one row for each target at most
+    stock = stock.drop("largest")
+    _, expected = plan_mixture({s: int(r["available_tokens"] or 0) for s, r in have.items()}, targets)
     if not expected:
         return empty, stock, targets
+    largest = {s: int(have[s]["largest"]) for s in expected}
     usable = sized.filter(F.col("source").isin(*expected) & (F.col("tokens") > 0))
-    by_size = Window.partitionBy("source").orderBy(F.desc("tokens"), "doc_id", "place")
-    top = usable.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= LARGEST).collect()  # LARGEST rows a source
-    large, expected = _round_largest([(r["source"], r["doc_id"], r["tokens"]) for r in top], expected, have, {s: m for s, _, m in targets}, seed)
-    rounded = materialise(usable.filter(~F.col("place").isin([r["place"] for r in top])).mapInPandas(_round_task(expected, seed), _ROW), "p8-rounded")
+    rounded = materialise(usable.mapInPandas(_round_task(expected, largest, seed), _ROW), "p8-rounded")
     done = [rounded.filter("fraction is null")]
     open_ = rounded.filter("fraction is not null")
     level, root = 0, False
     while not root:
-        state = open_.agg(F.count_distinct("source", "node").alias("nodes"), F.count_distinct("source").alias("sources")).first()
-        root = state["nodes"] <= state["sources"]
+        state = open_.agg(F.count_distinct("source", "node").alias("nodes"), F.count_distinct("source").alias("sources"), F.count_distinct("node").alias("width")).first()
+        root = state["nodes"] <= state["sources"] or state["width"] <= FAN_IN
         level += 1
-        grouped = open_.withColumn("parent", F.lit(0) if root else F.floor(F.col("node") / FAN_IN)).groupBy("source", "parent").applyInPandas(_round_group(seed + level, 0 if root else RESERVE), _ROW)
+        grouped = open_.withColumn("parent", F.lit(0) if root else F.floor(F.col("node") / FAN_IN)).groupBy("source", "parent").applyInPandas(_round_group(None if root else largest, seed + level), _ROW)
         step = materialise(grouped, "p8-tree")
         done.append(step.filter("fraction is null"))
         open_ = step.filter("fraction is not null")
-    last = large + [(r["doc_id"], r["source"], r["tokens"], r["copies"] + int(_draw(seed, "last", r["doc_id"]) < r["fraction"])) for r in open_.collect()]
-    out = spark.createDataFrame(last, "doc_id long, source string, tokens long, copies int")
-    for part in done:
+    out = done[0].select("doc_id", "source", "tokens", "copies")
+    for part in done[1:]:
         out = out.unionByName(part.select("doc_id", "source", "tokens", "copies"))
     return out.filter("copies > 0"), stock, targets
 

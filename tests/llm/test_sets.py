@@ -249,14 +249,31 @@ def test_shares(spark):
 def test_pivot_keeps_mass_and_expectation():
     total = Counter()
     for seed in range(400):
-        settled, open_ = mixing.pivot([(1, 10, 0, 0.3), (2, 10, 1, 0.5), (3, 10, 0, 0.7)], seed)
-        assert len(settled) == 2 and 10 * sum(w for _, _, w in settled) + 10 * (open_[2] + open_[3]) == pytest.approx(25)
+        settled, left = mixing.pivot([(1, 10, 0, 0.3), (2, 10, 1, 0.5), (3, 10, 0, 0.7)], 0, seed)
+        assert len(settled) >= 2 and len(left) <= 1 and 10 * sum(w for _, _, w in settled) + 10 * sum(w + p for _, _, w, p in left) == pytest.approx(25)
         for d, _, w in settled:
             total[d] += w
-        total[open_[0]] += open_[2] + open_[3]
+        for d, _, w, p in left:
+            total[d] += w + p
     assert total[1] / 400 == pytest.approx(0.3, abs=0.08) and total[2] / 400 == pytest.approx(1.5, abs=0.08)
 
 
+def test_a_lonely_record_is_settled_against_all_others():
+    """One record outweighs any other by far: its mass goes to and comes from all of them, and the source keeps its tokens."""
+    records = [(0, 9000, 0, 0.4)] + [(i, 20 + i % 30, 0, 0.4) for i in range(1, 900)]
+    records.sort(key=lambda r: (-r[1], r[0]))
+    whole = 0.4 * sum(t for _, t, _, _ in records)
+    ups = 0
+    for seed in range(60):
+        settled, left = mixing.pivot(records, 0, seed)
+        assert sum(t * w for _, t, w in settled) + sum(t * (w + p) for _, t, w, p in left) == pytest.approx(whole)
+        assert len(left) <= 1 and all(t < 200 for _, t, _, _ in left)
+        ups += dict((d, w) for d, _, w in settled)[0]
+    assert 10 < ups < 40
+    settled, left = mixing.pivot(records, 500, 1)
+    assert len(left) in (500, 501) and 0 in {d for d, _, _ in settled}
+
+
 # ---- 9: reading level
 
 EASY = "See the log. The box is red. Did you read the map? Keep the key."
