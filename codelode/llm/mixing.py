@@ -208,11 +208,14 @@ def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: st
 
 
 def mixture_shares(documents: DataFrame, mix_targets: DataFrame, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(source, target_share, max_repeats, records, available_tokens, used_records, copies, tokens, share, most_copies) of every target."""
+    """(source, target_share, max_repeats, records, available_tokens, used_records, copies, tokens, share, most_copies, largest) of every target.
+
+    largest: tokens of the largest record used, by less than which the source misses its share.
+    """
     mixed, stock, targets = _mix(documents, mix_targets, seed, vocabulary)
     spark = documents.sparkSession
     asked = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    used = mixed.groupBy("source").agg(F.count("*").alias("used_records"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"))
+    used = mixed.groupBy("source").agg(F.count("*").alias("used_records"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"), F.max("tokens").alias("largest"))
     total = used.agg(F.sum("used_tokens")).first()[0] or 0
     rows = asked.join(stock, "source", "left").join(used, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -220,5 +223,5 @@ def mixture_shares(documents: DataFrame, mix_targets: DataFrame, seed: int = SEE
         "source", "target_share", "max_repeats", zero("records"), zero("available_tokens"), zero("used_records"), zero("copies"),
         F.coalesce("used_tokens", F.lit(0)).cast("long").alias("tokens"),
         F.round(F.coalesce(F.col("used_tokens"), F.lit(0)) / F.lit(float(max(total, 1))), 6).alias("share"),
-        zero("most_copies"),
+        zero("most_copies"), zero("largest"),
     )
