@@ -20,14 +20,20 @@ _EXTENSIONS = {
 }
 _FILENAMES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake", "Jenkinsfile": "Groovy"}
 NON_PROGRAMMING = ("JSON", "YAML", "TOML", "XML", "INI", "Markdown", "MDX", "reStructuredText", "TeX")
+#: Directories no scan enters. Fixed values.
 IGNORED_DIRECTORIES = (
     ".git .hg .svn node_modules bower_components .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .next .nuxt "
     ".svelte-kit .turbo .cache dist build out target coverage .gradle .idea .vscode .terraform"
 ).split()
+#: Files that describe what a project is built of. Fixed values.
 MANIFESTS = (
     "package.json pyproject.toml requirements.txt setup.py setup.cfg Pipfile poetry.lock go.mod Cargo.toml pom.xml build.gradle build.gradle.kts "
     "Gemfile composer.json mix.exs pubspec.yaml Package.swift CMakeLists.txt Makefile Dockerfile docker-compose.yml"
 ).split()
+#: What a top-level file of these kinds begins with, in any case. Fixed values.
+README_PREFIXES = ("readme",)
+LICENSE_PREFIXES = ("license", "licence", "copying")
+#: Lock files, which are not cut into chunks. Fixed values.
 LOCK_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock uv.lock Cargo.lock composer.lock Gemfile.lock go.sum".split()
 MARKDOWN_SUFFIX = r"(?i)\.(?:md|mdx|markdown|rst)$"
 

@@ -91,6 +91,7 @@ def sha_ok(sha: Column) -> Column:
 
 def git_failure(stderr: Column) -> Column:
     """branch_not_found, not_found, network or failed, in this order of tests."""
+    # fixed values: what git and its transport say
     t = F.lower(stderr)
     any_of = lambda *marks: t.rlike("|".join(marks))
     return (

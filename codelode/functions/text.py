@@ -12,6 +12,7 @@ STOPWORDS = (
     "under up var was were will with would"
 ).split()
 TOKEN_MIN, TOKEN_MAX = 2, 40
+#: What a word is, and a part of one. Fixed values.
 WORD = r"([A-Za-z][A-Za-z0-9_]*|\p{Nd}+)"
 PART = r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|\p{Nd}+)"
 

@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.catalog import first_distinct
+from codelode.session import materialise
+
 DEPTH = 4
 _FILE = ["repository_id", "path"]
 
@@ -102,9 +105,10 @@ def resolve_references(calls: DataFrame, symbols: DataFrame, imports: DataFrame,
     Calls outside any symbol are left out. `self`, `this` and `cls` take exactly one member.
     Strategies in order: self, self_inherited, same_file, import, namespace, member.
     """
-    bound, offers = bindings(imports), exported(symbols, reexports)
-    bases = inheritance(symbols, bound, offers)
-    members = inherited_members(symbols, bases)
+    # each is joined in several ways below; written once, so that no plan holds them all
+    bound, offers = materialise(bindings(imports), "graph-bound"), materialise(exported(symbols, reexports), "graph-offers")
+    bases = materialise(inheritance(symbols, bound, offers), "graph-bases")
+    members = materialise(inherited_members(symbols, bases), "graph-members")
     rows = calls.filter(F.col("caller").isNotNull()).withColumn("parts", F.split("callee", r"\."))
     rows = rows.select(*_FILE, "caller", "line", "callee", F.size("parts").alias("n"), F.element_at("parts", 1).alias("root"), F.try_element_at("parts", F.lit(2)).alias("member"))
     keys = [*_FILE, "caller", "line", "callee"]
@@ -138,16 +142,49 @@ def resolve_references(calls: DataFrame, symbols: DataFrame, imports: DataFrame,
 def symbol_edges(resolved: DataFrame, kind: str = "calls") -> DataFrame:
     """(kind, repository_id, source_path, source, target_path, target, weight, strategy, expressions, lines); edges to itself drop out."""
     rows = resolved.filter((F.col("path") != F.col("target_path")) | (F.col("caller") != F.col("target")))
-    first = lambda c, n: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "callee"))), lambda x: x[c])), 1, n)
-    return rows.groupBy(F.lit(kind).alias("kind"), "repository_id", F.col("path").alias("source_path"), F.col("caller").alias("source"), "target_path", "target").agg(
-        F.count("*").alias("weight"), F.min_by("strategy", F.struct("line", "callee")).alias("strategy"), first("callee", 5).alias("expressions"), first("line", 10).alias("lines")
-    )
+    rows = rows.select("repository_id", F.col("path").alias("source_path"), F.col("caller").alias("source"), "target_path", "target", "strategy", "callee", "line")
+    keys = ["repository_id", "source_path", "source", "target_path", "target"]
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("weight"), F.min_by("strategy", F.struct("line", "callee")).alias("strategy"))
+    whole = whole.join(first_distinct(rows, keys, "callee", "line", 5, "expressions"), keys, "left").join(first_distinct(rows.withColumn("at", F.col("line")), keys, "line", "at", 10, "lines"), keys, "left")
+    return whole.select(F.lit(kind).alias("kind"), *whole.columns)
 
 
 def import_edges(imports: DataFrame) -> DataFrame:
     """(repository_id, source, target, weight, confidence, specifiers, lines) between files."""
     rows = imports.filter(F.col("resolved_path").isNotNull() & (F.col("path") != F.col("resolved_path")))
-    first = lambda c, n: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])), 1, n)
-    return rows.groupBy("repository_id", F.col("path").alias("source"), F.col("resolved_path").alias("target")).agg(
-        F.count("*").alias("weight"), F.when(F.bool_or(F.col("confidence") == "confirmed"), "confirmed").otherwise("inferred").alias("confidence"), first("module", 10).alias("specifiers"), first("line", 20).alias("lines")
-    )
+    rows = rows.select("repository_id", F.col("path").alias("source"), F.col("resolved_path").alias("target"), "ord", "confidence", "module", "line")
+    keys = ["repository_id", "source", "target"]
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("weight"), F.when(F.bool_or(F.col("confidence") == "confirmed"), "confirmed").otherwise("inferred").alias("confidence"))
+    return whole.join(first_distinct(rows, keys, "module", "ord", 10, "specifiers"), keys, "left").join(first_distinct(rows, keys, "line", "ord", 20, "lines"), keys, "left")
+
+
+def inheritance_edges(symbols: DataFrame, imports: DataFrame, reexports: DataFrame | None = None) -> DataFrame:
+    """Edges of kind `inherits` from a class to each base that is a class of the repository, see symbol_edges."""
+    bases = inheritance(symbols, bindings(imports), exported(symbols, reexports))
+    rows = bases.groupBy("repository_id", F.col("path").alias("source_path"), F.col("qualified_name").alias("source"), F.col("base_path").alias("target_path"), F.col("base").alias("target")).agg(F.count("*").alias("weight"))
+    return rows.select(F.lit("inherits").alias("kind"), *rows.columns)
+
+
+def code_graph(symbols: DataFrame, imports: DataFrame, calls: DataFrame, renders: DataFrame | None = None, reexports: DataFrame | None = None) -> DataFrame:
+    """(type, repository_id, source_path, source, target_path, target, weight, confidence) of the whole graph.
+
+    Types: imports between files (source and target null) as sure as the import's resolution;
+    calls and renders between symbols and inherits between classes, all inferred, since what a
+    name stands for at run time is not known. Calls outside any symbol and edges of a node to
+    itself are left out. renders: rows like calls, the callee being the component.
+    """
+    imports, symbols = materialise(imports, "graph-imports"), materialise(symbols, "graph-symbols")
+    between = import_edges(imports).select(F.lit("imports").alias("type"), "repository_id", F.col("source").alias("source_path"), F.lit(None).cast("string").alias("source"), F.col("target").alias("target_path"), F.lit(None).cast("string").alias("target"), "weight", "confidence")
+    columns = ["repository_id", "source_path", "source", "target_path", "target", "weight", F.lit("inferred").alias("confidence")]
+    parts = [between]
+    for kind, rows in (("calls", calls), ("renders", renders)):
+        if rows is not None:
+            resolved = materialise(resolve_references(rows, symbols, imports, reexports), "graph-resolved")
+            parts.append(symbol_edges(resolved, kind).select(F.col("kind").alias("type"), *columns))
+    parts.append(inheritance_edges(symbols, imports, reexports).select(F.col("kind").alias("type"), *columns))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def symbol_calls(calls: DataFrame, most: int = 50) -> DataFrame:
+    """(repository_id, path, caller, callees): the first distinct callees of each symbol in order of their lines."""
+    return first_distinct(calls.filter(F.col("caller").isNotNull()), [*_FILE, "caller"], "callee", "line", most, "callees")

@@ -58,7 +58,7 @@ def top_k(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k best rows of each query by score, ties by doc_id. Scores are rounded first, so a
     sum in another order can't change a rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("score", F.bround("score", digits)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -231,14 +231,15 @@ def rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, name: str | N
 def search(docs: DataFrame, queries: DataFrame, options: SearchOptions | None = None, embeddings: DataFrame | None = None) -> DataFrame:
     """Run one strategy over a batch of (query_id, query) rows against (doc_id, text)."""
     o = options or SearchOptions()
-    depth = max(o.candidates, o.top_k) if o.strategy.startswith("hybrid") else o.top_k
+    depth = max(o.candidates, o.rerank_candidates, o.top_k) if o.strategy.startswith("hybrid") else o.top_k
     if o.reranker and not o.strategy.startswith("hybrid"):
         depth = max(o.rerank_candidates, o.top_k)
     lists = {}
     if o.strategy != "dense":
         lists["bm25"] = bm25(docs, queries, depth, k1=o.k1, b=o.b)
     if o.strategy != "bm25":
-        vectors = embeddings if embeddings is not None else embed_documents(docs)
+        # embedded once, though the search reads the vectors several times
+        vectors = embeddings if embeddings is not None else materialise(embed_documents(docs), "vectors")
         asked = embed_documents(queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))).withColumnRenamed("doc_id", "query_id")
         lists["dense"] = dense(vectors, asked, depth)
     ranked = next(iter(lists.values())) if len(lists) == 1 else fuse(lists, o.fusion, o.weights, o.rrf_k)

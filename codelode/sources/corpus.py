@@ -26,44 +26,74 @@ def source_tree(spark: SparkSession, root: str, repository_id: str = "") -> Data
 
 def readable(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Files within the size limit without a NUL in their first 8192 bytes, as text with replacement of bad bytes."""
-    head = F.hex(F.substring("bytes", 1, 8192))
-    binary = head.rlike(r"^(?:..)*?00")
-    return files.filter((F.col("size_bytes") <= max_bytes) & ~binary).withColumn("content", F.decode("bytes", "UTF-8"))
+    binary = F.contains(F.substring("bytes", 1, 8192), F.lit(bytearray(b"\0")))
+    return files.filter((F.col("size_bytes") <= max_bytes) & ~binary).withColumn("content", F.make_valid_utf8(F.col("bytes").cast("string")))
 
 
 def index_rows(files: DataFrame) -> DataFrame:
     """(repository_id, path, language, size_bytes, line_count, content_sha256) of readable files."""
-    hexed = F.hex("bytes")
-    ends = (F.length(F.regexp_replace(hexed, r"(..)", "$1 ")) - F.length(F.replace(F.regexp_replace(hexed, r"(..)", "$1 "), F.lit("0A "), F.lit("")))) / 3
-    open_end = ((F.col("size_bytes") > 0) & ~hexed.endswith("0A")).cast("int")
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    open_end = ((F.col("size_bytes") > 0) & ~F.endswith(text, F.lit("\n"))).cast("int")
     return files.select("repository_id", "path", language_of(F.col("path")).alias("language"), "size_bytes", (ends + open_end).cast("int").alias("line_count"), F.sha2("bytes", 256).alias("content_sha256"))
 
 
+def _path(spark: SparkSession, *parts: str):
+    """(file context, path) of a name on whatever file system it lies."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(*parts))
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()), path
+
+
+def _write_text(spark: SparkSession, text: str, *parts: str) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(*parts)).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(*parts)), True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def _read_text(spark: SparkSession, *parts: str) -> str | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(*parts))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    held = fs.open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    held.close()
+    return text
+
+
 def write_version(tables: dict[str, DataFrame], root: str, manifest: dict) -> str:
-    """Write tables as one new version and switch the manifest to it last; readers see the old or the new one whole."""
+    """Write tables as one new version and switch the manifest to it last; readers see the old or the new one whole.
+
+    root may lie on any file system that Spark reaches.
+    """
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(os.path.join(root, version, name))
-    temporary = os.path.join(root, f".{version}.json")
-    os.makedirs(root, exist_ok=True)
-    with open(temporary, "w") as f:
-        json.dump(manifest | {"version": version}, f)
-    os.replace(temporary, os.path.join(root, "manifest.json"))
+    spark = next(iter(tables.values())).sparkSession
+    _write_text(spark, json.dumps(manifest | {"version": version}), root, f"{version}.json")
+    context, new = _path(spark, root, f"{version}.json")
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    context.rename(new, _path(spark, root, "manifest.json")[1], how)
     return version
 
 
-def read_manifest(root: str) -> dict | None:
+def read_manifest(root: str, spark: SparkSession | None = None) -> dict | None:
     """The manifest, None where there is none or it can't be read."""
+    spark = spark or SparkSession.getActiveSession()
     try:
-        with open(os.path.join(root, "manifest.json")) as f:
-            found = json.load(f)
+        text = _read_text(spark, root, "manifest.json")
+        found = json.loads(text) if text else None
         return found if isinstance(found, dict) else None
-    except (OSError, ValueError):
+    except ValueError:
         return None
 
 
 def read_version(spark: SparkSession, root: str, table: str) -> DataFrame:
-    manifest = read_manifest(root)
+    manifest = read_manifest(root, spark)
     if not manifest:
         raise FileNotFoundError("index_not_built")
     return spark.read.parquet(os.path.join(root, manifest["version"], table))
