@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from codelode.functions.languages import EXTENSION_LANGUAGE, NON_PROGRAMMING, _FILENAMES, language_of, worth_chunking
 from codelode.functions.paths import branch_ok, repository_url, sha_ok
 from codelode.functions.text import STOPWORDS, line_count, tokens
-from codelode.operators import catalog, chunking, ecmascript_analysis, evaluation, python_analysis, resolution, retrieval
-from codelode.session import once_by_id, read_table, spread
+from codelode.operators import catalog, chunking, ecmascript_analysis, evaluation, extensions, graph, python_analysis, resolution, retrieval, search_index
+from codelode.session import materialise, once_by_id, read_table, shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +38,7 @@ def tokenizer_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    n, _ = retrieval.corpus_stats(docs)
+    n = docs.count()
     return retrieval.term_stats(retrieval.postings(docs), n).withColumn("idf", F.round("idf", 6))
 
 
@@ -195,28 +197,144 @@ def python_modules(spark: SparkSession, d: str) -> DataFrame:
     return resolution.python_modules(once_by_id(read_table(spark, d, "repository_files")))
 
 
-def _python_chunks(spark: SparkSession, d: str) -> DataFrame:
-    chunks = once_by_id(read_table(spark, d, "code_chunks")).filter("language = 'python'")
-    return spread(chunks.select("repository_id", F.concat_ws("#", "file_path", "id").alias("path"), "content"))
+def _sources(spark: SparkSession, d: str, *languages: str) -> DataFrame:
+    """(repository_id, path, content): the chunks of each file put together again in order of their lines."""
+    chunks = once_by_id(read_table(spark, d, "code_chunks")).filter(F.col("language").isin(*languages) & F.col("content").isNotNull())
+    parts = chunks.groupBy("repository_id", F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "id", "content"))).alias("parts"))
+    return spread(parts.select("repository_id", "path", F.array_join(F.transform("parts", lambda x: x["content"]), "\n").alias("content")))
+
+
+def _python_parsed(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(python_analysis.analyze_python(_sources(spark, d, "python")), "python")
 
 
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
-    rows = python_analysis.symbol_rows(python_analysis.analyze_python(_python_chunks(spark, d)))
-    return rows.select("path", "qualified_name", "kind", "start_line", "end_line", "signature", F.size("parameters").alias("parameters"))
+    rows = python_analysis.symbol_rows(python_analysis.analyze_python(_sources(spark, d, "python")))
+    return rows.select("repository_id", "path", "qualified_name", "kind", "start_line", "end_line", "signature", F.size("parameters").alias("parameters"))
 
 
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
-    rows = python_analysis.import_rows(python_analysis.analyze_python(_python_chunks(spark, d)))
+    rows = python_analysis.import_rows(_python_parsed(spark, d))
     files = once_by_id(read_table(spark, d, "repository_files"))
-    placed = rows.withColumn("path", F.substring_index("path", "#", 1)).dropDuplicates(["repository_id", "path", "module", "level"])
-    return resolution.resolve_python_absolute(placed, files).select("repository_id", "path", "module", "status", "resolved_path", "package")
+    return resolution.resolve_python(rows, files).select("repository_id", "path", "ord", "module", "level", "kind", "status", "confidence", "resolved_path", "package")
+
+
+def _python_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(parsed, symbols, imports, edges) of all Python files."""
+    parsed = _python_parsed(spark, d)
+    symbols = python_analysis.symbol_rows(parsed)
+    imports = materialise(resolution.resolve_python(python_analysis.import_rows(parsed), once_by_id(read_table(spark, d, "repository_files"))), "imports")
+    return parsed, symbols, imports, graph.code_graph(symbols, imports, parsed.select("repository_id", "path", F.inline("calls")))
+
+
+def python_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _python_graph(spark, d)[3]
+
+
+def python_graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    parsed, symbols, imports, edges = _python_graph(spark, d)
+    return catalog.repository_summary(symbols, parsed.select("repository_id", F.lit("python").alias("language"), F.col("status").alias("parse_status")), imports, materialise(edges, "edges"))
+
+
+def python_calls(spark: SparkSession, d: str) -> DataFrame:
+    out = graph.symbol_calls(_python_parsed(spark, d).select("repository_id", "path", F.inline("calls")))
+    return out.select("repository_id", "path", "caller", F.array_join("callees", ",").alias("callees"))
 
 
 def script_symbols(spark: SparkSession, d: str) -> DataFrame:
-    chunks = once_by_id(read_table(spark, d, "code_chunks")).filter("language in ('javascript', 'typescript', 'tsx')")
-    files = spread(chunks.select("repository_id", F.concat_ws("#", "file_path", "id").alias("path"), "content"))
-    rows = ecmascript_analysis.analyze_ecmascript(files).select("path", F.inline("symbols"))
-    return rows.select("path", "qualified_name", "kind", "start_line", "end_line", "is_exported", F.size("parameters").alias("parameters"))
+    rows = ecmascript_analysis.analyze_ecmascript(_sources(spark, d, "javascript", "typescript", "tsx")).select("repository_id", "path", F.inline("symbols"))
+    return rows.select("repository_id", "path", "qualified_name", "kind", "start_line", "end_line", "is_exported", F.size("parameters").alias("parameters"))
+
+
+def notable_files(spark: SparkSession, d: str) -> DataFrame:
+    out = catalog.notable_files(read_table(spark, d, "repository_files"))
+    return out.select("repository_id", F.array_join("manifests", ",").alias("manifests"), "readme", "license")
+
+
+def file_totals(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.file_totals(read_table(spark, d, "repository_files"))
+
+
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.chunk_counts(read_table(spark, d, "code_chunks"))
+
+
+def symbol_places(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.symbol_ranks(read_table(spark, d, "code_symbols"))
+
+
+def repository_labels(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.repository_labels(read_table(spark, d, "repositories"))
+
+
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.dashboard(read_table(spark, d, "repositories"))
+
+
+def repository_backfill(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.backfill(once_by_id(read_table(spark, d, "repositories"))).select("id", "branch", "status", "owner")
+
+
+def symbols_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols that chunks point to."""
+    asked = read_table(spark, d, "code_chunks").filter("symbol_id is not null").select("symbol_id")
+    return catalog.by_ids(read_table(spark, d, "code_symbols"), asked).select("id", "name")
+
+
+def files_without_repository(spark: SparkSession, d: str) -> DataFrame:
+    asked = read_table(spark, d, "repository_files").select("repository_id")
+    return catalog.missing_ids(read_table(spark, d, "repositories").filter("status = 'completed'"), asked)
+
+
+def edge_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.neighbours(catalog.aggregate_edges(_edges(spark, d)), F.lit(7))
+
+
+def several_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories with several jobs that came to an end, by the operator that looks for several active ones."""
+    jobs = read_table(spark, d, "indexing_jobs")
+    return catalog.several_active(jobs.withColumn("status", F.when(F.col("status").isin("completed", "failed"), "running").otherwise("ended")))
+
+
+def _chunk_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return once_by_id(read_table(spark, d, "code_chunks")).filter("content is not null")
+
+
+def _index(spark: SparkSession, d: str, provider: extensions.EmbeddingProvider | None = None) -> search_index.Index:
+    """An index of all chunks in the shared folder."""
+    root = os.path.join(shared_dir(spark), f"index-{uuid.uuid4().hex}")
+    search_index.build_index(_chunk_corpus(spark, d), root, None, provider)
+    return search_index.IndexCache().load(spark, root)
+
+
+def _symbol_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The query set: the qualified name of every chunk whose id, its first six digits read as a number, is divisible by 50."""
+    rows = _chunk_corpus(spark, d).filter("qualified_name is not null").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.split("qualified_name", r"\.")).alias("query"))
+    return rows.filter(F.conv(F.substring("query_id", 1, 6), 16, 10).cast("long") % 50 == 0)
+
+
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).terms
+
+
+def index_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).bm25(_symbol_queries(spark, d), 10)
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    root = os.path.join(shared_dir(spark), f"index-{uuid.uuid4().hex}")
+    provider = extensions.HashingProvider()
+    search_index.build_index(_chunk_corpus(spark, d), root, None, provider)
+    found = search_index.SearchService(spark, provider).search(root, _symbol_queries(spark, d), retrieval.SearchOptions(strategy="hybrid"))
+    return found.results.select("query_id", "id", "file_path", "score", "rank")
+
+
+def document_chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(file_path, fits, filled): whether each document's chunks keep the limits, and together hold every filled line but those of dropped separators."""
+    out = chunking.documents_as_chunks(spread(read_table(spark, d, "documents").select("doc_id", "repository_id", "text")))
+    lines = F.col("end_line") - F.col("start_line") + 1
+    fits = (lines == 1) | ((lines <= chunking.MAX_LINES) & (F.length("content") + 1 <= chunking.MAX_CHARS))
+    return out.groupBy("file_path").agg(F.bool_and(fits).alias("fits"), F.bool_and(F.col("content").rlike(r"\S")).alias("filled"), (F.count_distinct("id") == F.count("*")).alias("named"))
 
 
 def queries() -> dict[str, Query]:
@@ -224,7 +342,9 @@ def queries() -> dict[str, Query]:
         tokenizer_terms, bm25_term_stats, bm25_topk, bm25_evaluation, search_hybrid, search_reranked, dense_topk, fusion_rrf, fusion_weighted, latency_percentiles,
         file_language, document_lines, symbol_search, exported_classes, file_list, files_not_analyzed, language_stats, primary_language, language_share, latest_job,
         several_active, jobs_page, symbol_outline, symbol_ancestors, directory_rollup, symbol_summary, skipped_files, edge_aggregate, edges_of_node, repository_checks,
-        document_chunks, python_modules, python_symbols, python_imports, script_symbols,
+        document_chunks, document_chunk_checks, python_modules, python_symbols, python_imports, python_graph, python_graph_summary, python_calls, script_symbols,
+        notable_files, file_totals, chunk_counts, symbol_places, repository_labels, dashboard, repository_backfill, symbols_by_ids, files_without_repository, edge_neighbours, several_jobs,
+        index_terms, index_bm25, index_search,
     )
     return {f.__name__: f for f in every}
 
@@ -261,6 +381,9 @@ sc AS (SELECT q.key AS query_id, tf.key AS doc_id, round(sum(idf * tf * 2.2 / (t
        FROM (SELECT DISTINCT key, term FROM qt) q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.key = tf.key, st GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)
 """
+#: What a chunk is indexed by: header and content, and its path once more.
+_CHUNKS = """SELECT id AS key, file_path || ' (' || language || ')' || CASE WHEN coalesce(qualified_name, '') <> '' THEN ' - ' || coalesce(symbol_type, chunk_type) || ' ' || qualified_name ELSE '' END
+             || chr(10) || content || chr(10) || translate(file_path, '/.-', '   ') AS text FROM (SELECT DISTINCT ON (id) * FROM code_chunks) WHERE content IS NOT NULL"""
 _F = "(SELECT DISTINCT ON (id) * FROM repository_files)"
 _S = "(SELECT DISTINCT ON (id) * FROM code_symbols)"
 _C = "(SELECT DISTINCT ON (id) * FROM code_files)"
@@ -283,6 +406,34 @@ def oracle_sql() -> dict[str, str]:
     kinds = ["function", "method", "class", "component", "interface", "type_alias", "enum", "variable"]
     lang_stats = f"SELECT repository_id, language, count(*)::BIGINT AS files, sum(size_bytes)::BIGINT AS bytes FROM {_F} WHERE language IS NOT NULL GROUP BY ALL"
     return {
+        "notable_files": f"""WITH f AS (SELECT repository_id, path, regexp_extract(path, '[^/]*$') AS name FROM {_F}),
+            m AS (SELECT repository_id, string_agg(path, ',' ORDER BY path) AS manifests FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS r FROM (SELECT DISTINCT repository_id, path FROM f WHERE name IN ('package.json','pyproject.toml','requirements.txt','setup.py','setup.cfg','Pipfile','poetry.lock','go.mod','Cargo.toml','pom.xml','build.gradle','build.gradle.kts','Gemfile','composer.json','mix.exs','pubspec.yaml','Package.swift','CMakeLists.txt','Makefile','Dockerfile','docker-compose.yml'))) WHERE r <= 50 GROUP BY 1)
+            SELECT f.repository_id, any_value(manifests) AS manifests, min(path) FILTER (NOT contains(path, '/') AND lower(name) LIKE 'readme%') AS readme,
+                   min(path) FILTER (NOT contains(path, '/') AND regexp_matches(lower(name), '^(license|licence|copying)')) AS license FROM f LEFT JOIN m USING (repository_id) GROUP BY 1""",
+        "file_totals": f"SELECT repository_id, count(*)::BIGINT AS total_files, sum(size_bytes)::BIGINT AS total_size_bytes, count(*) FILTER (size_bytes <= 1048576)::BIGINT AS indexed_files FROM {_F} GROUP BY 1",
+        "chunk_counts": "WITH c AS (SELECT DISTINCT ON (id) * FROM code_chunks) SELECT 'chunk_type' AS facet, chunk_type AS value, count(*)::BIGINT AS chunks FROM c GROUP BY ALL UNION ALL SELECT 'language', language, count(*)::BIGINT FROM c GROUP BY ALL",
+        "symbol_places": f"SELECT id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, end_line DESC, id)::INT AS place FROM {_S}",
+        "repository_labels": "SELECT id, CASE WHEN coalesce(owner, '') <> '' THEN owner || '/' || name ELSE name END AS full_name, left(commit_sha, 7) AS short_sha, CASE WHEN source_type = 'github' THEN url || '/commit/' || commit_sha END AS commit_url FROM repositories",
+        "dashboard": "SELECT count(DISTINCT project_id)::BIGINT AS projects, count(*)::BIGINT AS repositories, count(*) FILTER (status = 'completed')::BIGINT AS completed FROM repositories",
+        "repository_backfill": "SELECT id, coalesce(branch, default_branch) AS branch, CASE WHEN status = 'ready' THEN 'completed' ELSE status END AS status, coalesce(owner, nullif(regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]+/+([^/]+)', 1), '')) AS owner FROM repositories",
+        "symbols_by_ids": f"SELECT id, name FROM {_S} WHERE id IN (SELECT symbol_id FROM code_chunks WHERE symbol_id IS NOT NULL)",
+        "files_without_repository": "SELECT DISTINCT repository_id AS id FROM repository_files WHERE repository_id NOT IN (SELECT id FROM repositories WHERE status = 'completed')",
+        "edge_neighbours": f"""WITH g AS (SELECT source, target, count(*)::BIGINT AS weight FROM ({_EDGES}) GROUP BY ALL),
+            e AS (SELECT 'outgoing' AS direction, target AS neighbour, weight FROM g WHERE source = 7 UNION ALL SELECT 'incoming', source, weight FROM g WHERE target = 7),
+            r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY weight DESC, neighbour) AS r, count(*) OVER (PARTITION BY direction) AS n FROM e)
+            SELECT direction, neighbour::VARCHAR AS neighbour, NULL::BIGINT AS more FROM r WHERE n <= 12 OR r < 12 UNION ALL SELECT direction, NULL, count(*)::BIGINT FROM r WHERE n > 12 AND r >= 12 GROUP BY 1""",
+        "several_jobs": f"SELECT repository_id, count(*)::BIGINT AS active FROM {_J} WHERE status IN ('completed', 'failed') GROUP BY 1 HAVING count(*) > 1",
+        "index_terms": f"WITH {_tokens_sql(_CHUNKS, 'c')} SELECT term, count(DISTINCT key)::BIGINT AS df FROM ct GROUP BY term",
+        "index_bm25": f"""WITH {_tokens_sql(_CHUNKS, "d")},
+            {_tokens_sql("SELECT id AS key, replace(qualified_name, '.', ' ') AS text FROM (SELECT DISTINCT ON (id) * FROM code_chunks) WHERE content IS NOT NULL AND qualified_name IS NOT NULL AND ('0x' || left(id, 6))::INT % 50 = 0", "q")},
+            tf AS (SELECT key, term, count(*) AS tf FROM dt GROUP BY ALL),
+            dl AS (SELECT k.key, count(dt.term) AS dl FROM ({_CHUNKS}) k LEFT JOIN dt USING (key) GROUP BY ALL),
+            st AS (SELECT count(*) AS n, round(avg(dl), 2) AS a FROM dl),
+            df AS (SELECT term, ln(1 + (st.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, st.n),
+            sc AS (SELECT q.key AS query_id, tf.key AS doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / st.a))), 6) AS score
+                   FROM (SELECT DISTINCT key, term FROM qt) q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.key = tf.key, st GROUP BY ALL)
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10""",
+        "document_chunk_checks": "SELECT doc_id || '.md' AS file_path, true AS fits, true AS filled, true AS named FROM documents WHERE regexp_matches(text, '\\S')",
         "tokenizer_terms": f"WITH {_tokens_sql(_DOCS, 'd')} SELECT term, count(*)::BIGINT AS occurrences FROM dt GROUP BY term",
         "bm25_term_stats": f"WITH {_tokens_sql(_DOCS, 'd')}, n AS (SELECT count(*) AS n FROM ({_DOCS})) SELECT term, count(DISTINCT key)::BIGINT AS df, round(ln(1 + (n.n - count(DISTINCT key) + 0.5) / (count(DISTINCT key) + 0.5)), 6) AS idf FROM dt, n GROUP BY term, n.n",
         "bm25_topk": _BM25 + "SELECT query_id, doc_id, score, rank FROM bm",
