@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,3 +158,22 @@ def once_by_id(df: DataFrame, key: str = "id") -> DataFrame:
     mark = "__row__"
     kept = df.withColumn(mark, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
     return kept.dropDuplicates([key, mark]).drop(mark)
+
+
+def once_in_place(df: DataFrame, key: str = "id") -> DataFrame:
+    """As once_by_id, but wide rows stay where they are while the copies are few.
+
+    Over keys alone it is found at which places (file and row) copies stand; these places are
+    left out of the scan by a broadcast if they take BROADCAST_BYTES at most, and beyond that,
+    or where df is no scan of files, rows are dropped by a shuffle.
+    """
+    try:
+        placed = df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("__file__"), F.col("_metadata.row_index").alias("__at__"))
+    except AnalysisException:
+        return once_by_id(df, key)
+    keys = placed.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.struct("__file__", "__at__").alias("place"))
+    first = keys.groupBy("k").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k", "first")
+    copies = materialise(keys.join(first, "k").filter("place <> first").select("place.*"), "copies")
+    if copies.count() * 64 > BROADCAST_BYTES:
+        return once_by_id(df, key)
+    return placed.join(F.broadcast(copies), ["__file__", "__at__"], "left_anti").drop("__file__", "__at__")

@@ -2,7 +2,7 @@ import json
 import os
 
 from codelode.operators import catalog, chunking, python_analysis, resolution
-from codelode.session import discard, materialise, shared_dir
+from codelode.session import discard, materialise, once_by_id, once_in_place, shared_dir
 from codelode.sources import corpus
 from codelode.streaming.reindex import reindexing
 
@@ -199,3 +199,13 @@ def test_written_tables_lie_in_the_shared_folder_until_discarded(spark):
     assert df.count() == 3 and path.startswith(shared_dir(spark)) and os.path.exists(path.removeprefix("file:"))
     discard(df)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_once_in_place(spark, tmp_path):
+    rows = [(f"k{i % 40}", f"text {i % 40}", i % 3) for i in range(60)] + [(None, "x", 1)] * 3 + [("hot", "same", 0)] * 30
+    spark.createDataFrame(rows, "id string, text string, n int").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = [tuple(r) for r in once_in_place(df.select("id", "text")).collect()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in once_by_id(df.select("id", "text")).collect()), key=str) and len(got) == 44
+    assert once_in_place(df.filter("id = 'none'")).count() == 0
+    assert once_in_place(spark.createDataFrame(rows, df.schema)).count() == 44
