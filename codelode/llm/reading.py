@@ -365,11 +365,13 @@ def _score(model: LevelModel):
 def reading_levels(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_DOCS) -> DataFrame:
     """(doc_id, language, sentences, words, level, hard_share, grade) of every document.
 
-    level runs from 1 to 5; grade is the level rounded, but 5 exactly where more of the prose's
-    words stand in sentences of the hardest level than the fitted share. The scale is that of
-    English graders; grade and level of a text in another language are null, as are those of a
-    text that is null, blank or has no prose. Null grades and labels of unknown documents don't
-    count; without any label the grades are those of an untrained model. Documents keep their rows.
+    level runs from 1 to 5, grade is the level rounded. The level is calibrated in two pieces that
+    meet at 4.5: where the share of the prose's words in sentences of the hardest level reaches the
+    fitted share, it lies above, by how far the share exceeds it, else below, by the fitted mixture of
+    the sentence levels. The scale is that of English graders; grade and level of a text in another
+    language are null, as are those of a text that is null, blank or has no prose. Null grades and
+    labels of unknown documents don't count; without any label the grades are those of an untrained
+    model. Documents keep their rows.
     """
     sample = training_sample(documents, labels, limit)
     model = fit_level_model(sample["text"].tolist(), sample["grade"].tolist())
@@ -377,6 +379,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRA
         _score(model), "doc_id long, language string, sentences int, words long, level double, hard_share double"
     )
     english = (F.col("language") == "en") & (F.col("words") > 0)
+    cut, edge = model.hard_share, GRADES - 0.5
+    above = F.greatest(F.col("level"), edge + (GRADES - edge) * (F.col("hard_share") - cut) / (1.0 - cut))
+    scored = scored.withColumn("level", F.when(F.col("hard_share") > cut, above).otherwise(F.least(F.col("level"), F.lit(edge - 1e-4))))
     return scored.select(
         "doc_id",
         "language",
@@ -384,5 +389,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRA
         "words",
         F.when(english, F.round("level", 4)).alias("level"),
         F.when(english, F.round("hard_share", 4)).alias("hard_share"),
-        F.when(english, F.when(F.col("hard_share") > model.hard_share, GRADES).otherwise(F.least(F.lit(GRADES - 1), F.round("level").cast("int")))).alias("grade"),
+        F.when(english, F.round("level").cast("int")).alias("grade"),
     )
