@@ -7,7 +7,8 @@ common prefix >= n holds exactly the occurrences of one n-gram. Records are coun
 by the same array: an occurrence whose predecessor *of the same record* shares n
 tokens is a duplicate adjacency, and records = occurrences - duplicate adjacencies.
 Blocks hold whole records, so both counts add up over blocks; Spark sums the partial
-counts map-side and then by n-gram, and no posting list or text is shuffled.
+counts map-side and then by n-gram. Records delivered twice are left out at their places, so
+texts are not shuffled as long as such copies are few, and posting lists never are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.terms import as_string, term_array
-from codelode.session import once_by_id
+from codelode.session import once_in_place
 
 #: Bytes of text that make a block; a longer record is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -114,7 +115,7 @@ def ngram_frequencies(df: DataFrame, text: str, key: str = "id", max_n: int = 1,
     without white space at its ends and in its own case, is the one token. Further
     columns, also named gram or n, don't matter. An empty table gives no rows.
     """
-    records = once_by_id(df.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
+    records = once_in_place(df.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
     parts = records.select("text").mapInArrow(_counter(max_n, whole), _SCHEMA)
     return parts.groupBy("n", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
