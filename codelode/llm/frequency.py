@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from codelode.llm.terms import as_string, term_array
 from codelode.session import once_in_place
 
-#: Bytes of text that make a block; a longer record is a block of its own.
+#: Bytes of text that make a block, of its n-th part where n-grams up to n are asked, since a token then takes so
+#: much more memory; a longer record is a block of its own.
 BLOCK_BYTES = 16 << 20
 
 RARE_RECORDS, COMMON_SHARE_CONTENT, COMMON_SHARE_NAME = 3, 5, 200
@@ -38,9 +39,9 @@ def suffix_intervals(codes: np.ndarray, record: np.ndarray, max_n: int) -> Itera
     """
     if not len(codes):
         return
-    ahead = [codes.astype(np.int64) + 1]  # 0 stands for "beyond the record"
+    ahead = [codes.astype(np.int32) + 1]  # 0 stands for "beyond the record"
     for d in range(1, max_n):
-        col = np.zeros(len(codes), np.int64)
+        col = np.zeros(len(codes), np.int32)
         if d < len(codes):
             same = record[d:] == record[:-d]
             col[:-d][same] = ahead[0][d:][same]
@@ -98,7 +99,7 @@ def _counter(max_n: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             column = as_string(batch.column(0))
             held.append(column)
             size += column.nbytes
-            if size >= BLOCK_BYTES:
+            if size * max_n >= BLOCK_BYTES:
                 yield from _block(pa.concat_arrays(held), max_n, whole)
                 held, size = [], 0
         if held:
