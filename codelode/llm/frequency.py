@@ -29,7 +29,7 @@ from codelode.session import once_in_place
 BLOCK_BYTES = 16 << 20
 
 RARE_RECORDS, COMMON_SHARE_CONTENT, COMMON_SHARE_NAME = 3, 5, 200
-_SCHEMA = "n int, gram string, occurrences long, records long"
+_SCHEMA = "gram string, occurrences long, records long"
 
 
 def suffix_intervals(codes: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,8 +86,8 @@ def _block(texts: pa.Array, max_n: int, whole: bool) -> Iterator[pa.RecordBatch]
         parts = [words.take(pa.array(codes[at + d])) for d in range(n)]
         grams = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), n, np.int32)), grams.cast(pa.string()), pa.array(occurrences.astype(np.int64)), pa.array(records.astype(np.int64))],
-            ["n", "gram", "occurrences", "records"],
+            [grams.cast(pa.string()), pa.array(occurrences.astype(np.int64)), pa.array(records.astype(np.int64))],
+            ["gram", "occurrences", "records"],
         )
 
 
@@ -118,7 +118,10 @@ def ngram_frequencies(df: DataFrame, text: str, key: str = "id", max_n: int = 1,
     """
     records = once_in_place(df.select(F.col(key).alias("id"), F.col(text).alias("text")), "id")
     parts = records.select("text").mapInArrow(_counter(max_n, whole), _SCHEMA)
-    return parts.groupBy("n", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    counts = parts.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # terms hold no blank, so an n-gram's n need not travel with it
+    n = F.lit(1) if whole else F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
+    return counts.select(n.cast("int").alias("n"), "gram", "occurrences", "records")
 
 
 def record_count(df: DataFrame, key: str = "id") -> int:
