@@ -9,35 +9,83 @@ from pyspark.sql import functions as F
 
 # File extension to language, grouped by language.
 _EXTENSIONS = {
-    "Python": ".py .pyi", "Jupyter Notebook": ".ipynb", "JavaScript": ".js .mjs .cjs .jsx", "TypeScript": ".ts .mts .cts .tsx",
-    "Java": ".java", "Kotlin": ".kt .kts", "Scala": ".scala", "Groovy": ".groovy", "Go": ".go", "Rust": ".rs", "C": ".c .h",
-    "C++": ".cc .cpp .cxx .hpp .hh", "C#": ".cs", "F#": ".fs", "Swift": ".swift", "Objective-C": ".m .mm", "Ruby": ".rb", "PHP": ".php",
-    "Perl": ".pl", "Lua": ".lua", "R": ".r", "Julia": ".jl", "Dart": ".dart", "Elixir": ".ex .exs", "Erlang": ".erl", "Haskell": ".hs",
-    "Clojure": ".clj", "OCaml": ".ml", "Zig": ".zig", "Solidity": ".sol", "Shell": ".sh .bash .zsh", "PowerShell": ".ps1", "SQL": ".sql",
-    "HTML": ".html .htm", "CSS": ".css", "SCSS": ".scss", "Sass": ".sass", "Less": ".less", "Vue": ".vue", "Svelte": ".svelte",
-    "JSON": ".json", "YAML": ".yaml .yml", "TOML": ".toml", "XML": ".xml", "INI": ".ini", "Protocol Buffers": ".proto",
-    "GraphQL": ".graphql .gql", "Markdown": ".md", "MDX": ".mdx", "reStructuredText": ".rst", "TeX": ".tex",
-}
+    "Python": (".py", ".pyi"),
+    "Jupyter Notebook": (".ipynb",),
+    "JavaScript": (".js", ".mjs", ".cjs", ".jsx"),
+    "TypeScript": (".ts", ".mts", ".cts", ".tsx"),
+    "Java": (".java",),
+    "Kotlin": (".kt", ".kts"),
+    "Scala": (".scala",),
+    "Groovy": (".groovy",),
+    "Go": (".go",),
+    "Rust": (".rs",),
+    "C": (".c", ".h"),
+    "C++": (".cc", ".cpp", ".cxx", ".hpp", ".hh"),
+    "C#": (".cs",),
+    "F#": (".fs",),
+    "Swift": (".swift",),
+    "Objective-C": (".m", ".mm"),
+    "Ruby": (".rb",),
+    "PHP": (".php",),
+    "Perl": (".pl",),
+    "Lua": (".lua",),
+    "R": (".r",),
+    "Julia": (".jl",),
+    "Dart": (".dart",),
+    "Elixir": (".ex", ".exs"),
+    "Erlang": (".erl",),
+    "Haskell": (".hs",),
+    "Clojure": (".clj",),
+    "OCaml": (".ml",),
+    "Zig": (".zig",),
+    "Solidity": (".sol",),
+    "Shell": (".sh", ".bash", ".zsh"),
+    "PowerShell": (".ps1",),
+    "SQL": (".sql",),
+    "HTML": (".html", ".htm"),
+    "CSS": (".css",),
+    "SCSS": (".scss",),
+    "Sass": (".sass",),
+    "Less": (".less",),
+    "Vue": (".vue",),
+    "Svelte": (".svelte",),
+    "JSON": (".json",),
+    "YAML": (".yaml", ".yml"),
+    "TOML": (".toml",),
+    "XML": (".xml",),
+    "INI": (".ini",),
+    "Protocol Buffers": (".proto",),
+    "GraphQL": (".graphql", ".gql"),
+    "Markdown": (".md",),
+    "MDX": (".mdx",),
+    "reStructuredText": (".rst",),
+    "TeX": (".tex",),
+}
+# Languages told by the whole file name.
 _FILENAMES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake", "Jenkinsfile": "Groovy"}
+#: Languages that are no programming languages. Fixed values.
 NON_PROGRAMMING = ("JSON", "YAML", "TOML", "XML", "INI", "Markdown", "MDX", "reStructuredText", "TeX")
 #: Directories no scan enters. Fixed values.
 IGNORED_DIRECTORIES = (
-    ".git .hg .svn node_modules bower_components .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .next .nuxt "
-    ".svelte-kit .turbo .cache dist build out target coverage .gradle .idea .vscode .terraform"
-).split()
+    ".git", ".hg", ".svn", "node_modules", "bower_components", ".venv", "venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox",
+    ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache", "dist", "build", "out", "target", "coverage", ".gradle", ".idea", ".vscode", ".terraform",
+)
 #: Files that describe what a project is built of. Fixed values.
 MANIFESTS = (
-    "package.json pyproject.toml requirements.txt setup.py setup.cfg Pipfile poetry.lock go.mod Cargo.toml pom.xml build.gradle build.gradle.kts "
-    "Gemfile composer.json mix.exs pubspec.yaml Package.swift CMakeLists.txt Makefile Dockerfile docker-compose.yml"
-).split()
+    "package.json", "pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "Pipfile", "poetry.lock", "go.mod", "Cargo.toml", "pom.xml", "build.gradle",
+    "build.gradle.kts", "Gemfile", "composer.json", "mix.exs", "pubspec.yaml", "Package.swift", "CMakeLists.txt", "Makefile", "Dockerfile", "docker-compose.yml",
+)
 #: What a top-level file of these kinds begins with, in any case. Fixed values.
 README_PREFIXES = ("readme",)
 LICENSE_PREFIXES = ("license", "licence", "copying")
 #: Lock files, which are not cut into chunks. Fixed values.
-LOCK_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock uv.lock Cargo.lock composer.lock Gemfile.lock go.sum".split()
+LOCK_NAMES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum",
+)
+#: Files cut at their headings. Fixed values.
 MARKDOWN_SUFFIX = r"(?i)\.(?:md|mdx|markdown|rst)$"
 
-EXTENSION_LANGUAGE = {e: lang for lang, all_ in _EXTENSIONS.items() for e in all_.split()}
+EXTENSION_LANGUAGE = {e: lang for lang, all_ in _EXTENSIONS.items() for e in all_}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
