@@ -176,8 +176,9 @@ def _lines_with_names(text: str) -> list[tuple[int, int]]:
     return sorted(ranges)
 
 
-def spans(text: str, plain: bool, run: np.ndarray | None = None) -> list[tuple[int, int, str, int]]:
-    """(begin, end, detector, where it counts) of every credential in a text. run: which detectors are worth running."""
+def spans(text: str, plain: bool, run: np.ndarray | None = None, run_joined: np.ndarray | None = None) -> list[tuple[int, int, str, int]]:
+    """(begin, end, detector, where it counts) of every credential in a text. run, run_joined: which detectors are worth
+    running on it as it stands, and with split literals put together."""
     found = []
     named = None
     for k, (name, pattern, judge) in enumerate(_COMPILED):
@@ -189,11 +190,13 @@ def spans(text: str, plain: bool, run: np.ndarray | None = None) -> list[tuple[i
                 found += _scan(text, begin, end, name, pattern, judge, plain)
         else:
             found += _scan(text, 0, len(text), name, pattern, judge, plain)
-    spread = _joined(text)
+    spread = _joined(text) if run_joined is None or run_joined.any() else None
     if spread:
         whole, steps = spread
         places = [s[0] for s in steps]
-        for name, pattern, judge in _JOINED:
+        for n, (name, pattern, judge) in enumerate(_JOINED):
+            if run_joined is not None and not run_joined[n]:
+                continue
             for m in pattern.finditer(whole):
                 b, e = m.span("value")
                 k, j = bisect_right(places, b) - 1, bisect_right(places, e - 1) - 1
@@ -239,13 +242,13 @@ def redact(text: str, found: list[tuple[int, int, str, int]]) -> str:
 
 
 def _joined_hits(index: BlockIndex, texts: pa.Array) -> np.ndarray:
-    """Whether each text, its split literals put together, is a candidate of a pattern that runs on them so."""
-    hit = np.zeros(len(texts), bool)
+    """For each pattern that runs on texts with split literals put together, whether each text is its candidate then."""
+    hits = np.zeros((len(_JOINED_QUERIES), len(texts)), bool)
     whole = [(r, joined[0]) for r, text in enumerate(texts.to_pylist()) if (joined := _joined(text))]
     if whole:
         index.build(pa.array([t for _, t in whole], pa.large_string()))
-        hit[[r for r, _ in whole]] = np.any([index.candidates(q) for q in _JOINED_QUERIES], axis=0)
-    return hit
+        hits[:, [r for r, _ in whole]] = [index.candidates(q) for q in _JOINED_QUERIES]
+    return hits
 
 
 def _finder(blank: bool):
@@ -255,12 +258,13 @@ def _finder(blank: bool):
             texts = as_string(batch.column(3))
             index.build(texts)
             hits = np.stack([index.candidates(q) for q in _QUERIES])
-            rows = np.flatnonzero(hits.any(axis=0) | _joined_hits(index, texts))
+            joined = _joined_hits(index, texts)
+            rows = np.flatnonzero(hits.any(axis=0) | joined.any(axis=0))
             ids, paths, languages = (batch.column(k) for k in range(3))
             out_id, out_line, out_kind, out_text, out_n = [], [], [], [], []
             for r in rows.tolist():
                 text = texts[r].as_py()
-                found = spans(text, _plain(paths[r].as_py(), languages[r].as_py()), hits[:, r])
+                found = spans(text, _plain(paths[r].as_py(), languages[r].as_py()), hits[:, r], joined[:, r])
                 if not found:
                     continue
                 if blank:

@@ -57,6 +57,19 @@ def test_pairs_and_groups_against_brute_force(spark):
         assert r["links"] == len(others)
 
 
+def test_pairs_with_hot_and_salted_triples(spark, monkeypatch):
+    """No link is lost where every bucket of the sketch is hot, or where each triple is split by salt."""
+    base = [f"w{k}" for k in range(50)]
+    texts = [" ".join([*base, *(f"own{i}x{k}" for k in range(i))]) for i in range(14)] + [" ".join(f"z{i}q{k}" for k in range(40)) for i in range(3)]
+    df = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "id string, content string").repartition(3)
+    sets = {f"c{i:02d}": triples(t) for i, t in enumerate(texts)}
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    for name, value in (("SALT", 2), ("HOT", 0)):
+        monkeypatch.setattr(neardup, name, value)
+        assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == want and want
+    assert neardup.sketch_bits(8) == 16 and neardup.sketch_bits(100_000) == 20 and neardup.sketch_bits(10**9) == 22
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([("a", None)], "id string, content string")
     assert neardup.similar_pairs(df).count() == 0 and neardup.near_duplicate_groups(df.limit(0)).count() == 0
