@@ -72,3 +72,32 @@ def test_blocks_rank_as_all_pairs(spark, many, tmp_path_factory, k):
     scores = lambda rows: {(r["query_id"], r["doc_id"]): r["score"] for r in rows}
     assert scores(got) == pytest.approx(scores(want), abs=5e-4)  # the index's average length has two digits
     assert search_index.IndexCache().load(spark, root).bm25(asked.filter("query_id = 3"), k).isEmpty()
+
+
+def test_a_search_keeps_its_results_only(spark, many, tmp_path):
+    """Vectors are written once, in the version; of the phases' tables the results alone stay."""
+    root = str(tmp_path / "s")
+    before = set(os.listdir(shared_dir(spark)))
+    search_index.build_index(many, root, None, search_index.HashingProvider())
+    assert set(os.listdir(shared_dir(spark))) == before
+    asked = spark.createDataFrame([(1, "openIds cache"), (2, "token server")], "query_id int, query string")
+    found = search_index.SearchService(spark).search(root, asked).results
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["search-hydrate"] and found.count() == 20
+
+
+def test_vectors_tie_by_id_over_batches(spark):
+    """What a task held back of a query is never among its best: scores equal to six digits go by id."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(f"{r.getrandbits(40):010x}", [r.choice((0.6, 0.6000000004, -0.8)), 0.0, 0.8, *[0.0] * 29]) for _ in range(400)], "doc_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0] + [0.0] * 31), (2, [0.1] * 32)], "query_id int, embedding array<double>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = {(x["query_id"], x["rank"]): (x["doc_id"], x["score"]) for x in retrieval.dense(docs, asked, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = docs.collect()
+    for q in asked.collect():
+        every = sorted((-round(sum(a * b for a, b in zip(q["embedding"], d["embedding"])), 6), d["doc_id"]) for d in rows)
+        assert [got[q["query_id"], n + 1] for n in range(7)] == [(d, -s) for s, d in every[:7]]
